@@ -1,0 +1,9 @@
+"""All queries of the library and their SQL, by name."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
