@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from tidegauge.llm import merging
 from tidegauge.llm.tables import keyed, small_batches
-from tidegauge.llm.wordbpe import model_of, shared_file
+from tidegauge.llm.wordbpe import Memo, model_of, shared_file
 
 
 class PerfectHash:
@@ -81,12 +82,49 @@ class ByteBpe:
         #: every way to make a token of two tokens; its rank and its id are the same number
         self.pairs = {ranks[k[:i]] << merging.SHIFT | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
         self.made = range(len(self.bytes_of))
+        self.known = Memo(self.word_ids)
+        self.decimal = list(map(str, self.made))
 
-    def encode(self, word: str) -> tuple[int, ...]:
+    def word_ids(self, word: str) -> list[int]:
         data = word.encode()
         if (s := self.whole.slot(data)) >= 0:
-            return (self.rank_at[s],)
-        return tuple(merging.merge([self.single[b] for b in data], self.pairs, self.made, True)[1])
+            return [self.rank_at[s]]
+        return merging.merge([self.single[b] for b in data], self.pairs, self.made, True)[1]
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of all matches of the pattern in ``text``."""
+        self.known.trim()
+        return list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text))))
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def packed(self, text: str) -> bytes:
+        """The ids of ``text``, four bytes each."""
+        ids = self.encode(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def after_space(self, piece: str) -> bytes | None:
+        """The packed ids of a space and ``piece``; None if white space at a border of the piece
+        could join white space beyond it."""
+        return self.packed(" " + piece) if piece and not piece[0].isspace() and not piece[-1].isspace() else None
+
+
+def ids_of(model: ByteBpe, known: Memo, text: str) -> list[int]:
+    """The ids of ``text``.
+
+    A match of the pattern never holds a space behind its first character unless white space lies
+    on both sides, so a text can be cut before single spaces; one that has longer runs of white
+    space at such a cut is encoded whole.
+    """
+    first, *rest = text.split(" ")
+    if not first or first[-1].isspace():
+        return model.encode(text)
+    known.trim()
+    parts = list(map(known.__getitem__, rest))
+    if None in parts:
+        return model.encode(text)
+    return np.frombuffer(b"".join((model.packed(first), *parts)), "<u4").tolist()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,8 +134,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ignored. One pass over the input, without a shuffle.
     """
 
-    def columns(ids: list[int], decoded: bytes) -> tuple:
-        return ids, decoded
+    def columns(model: ByteBpe, ids: list[int]) -> tuple:
+        return ids, model.decode(ids)
 
     return _mapped(docs, path, pattern, id_col, text_col, columns, [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())], "ids array<int>, decoded binary")
 
@@ -106,32 +144,30 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """As ``encode``, with n_tokens, ids_sha256 (of the decimal ids, joined by commas) and
     decoded_sha256 in place of the ids and bytes."""
 
-    def columns(ids: list[int], decoded: bytes) -> tuple:
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def columns(model: ByteBpe, ids: list[int]) -> tuple:
+        return len(ids), hashlib.sha256(",".join(map(model.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids)).hexdigest()
 
     return _mapped(docs, path, pattern, id_col, text_col, columns, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def unicode_white(pattern: str) -> str:
+    """``pattern`` with \\s as Unicode's White_Space, whatever the regex library takes it for."""
+    return pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
+
+
 def _mapped(docs, path, pattern, id_col, text_col, columns, fields, schema) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark, mb=2)
+    small_batches(spark, mb=4)
     data = shared_file(spark, path)
-    pattern = pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
-
-    def build(raw: bytes) -> ByteBpe:
-        return ByteBpe(raw, pattern)
 
-    build.__name__ = f"ByteBpe {pattern}"
+    def build(raw: bytes) -> tuple[ByteBpe, Memo]:
+        model = ByteBpe(raw, unicode_white(pattern))
+        return model, Memo(model.after_space)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = model_of(build, data)
-        of = known.__getitem__
+        model, known = model_of(("bytes", pattern), build, data)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                known.trim()
-                ids = list(chain.from_iterable(map(of, model.words.findall(text.as_py()))))
-                out.append(columns(ids, b"".join(map(model.bytes_of.__getitem__, ids))))
+            out = [columns(model, ids_of(model, known, text.as_py())) for text in batch.column("text")]
             rows = list(zip(*out, strict=True)) or [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, (_, t) in zip(rows, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
 

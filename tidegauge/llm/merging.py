@@ -22,24 +22,34 @@ def merge(ids: list[int], pairs: dict[int, int], made: list[int], want_ids: bool
     """
     n = len(ids)
     get = pairs.get
-    heap = [r << PLACE | i for i, r in enumerate(map(get, [a << SHIFT | b for a, b in pairwise(ids)])) if r is not None]
+    ranks = list(map(get, [a << SHIFT | b for a, b in pairwise(ids)]))  # of the pair that begins at each symbol
+    heap = [r << PLACE | i for i, r in enumerate(ranks) if r is not None]
     if not heap:
         return 0, ids
-    heapify(heap)
+    if len(heap) > 1:
+        heapify(heap)
+    ranks.append(None)
     after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
     while heap:
         top = heappop(heap)
         i, rank = top & AT, top >> PLACE
-        j = after[i]
-        if j >= n or ids[i] < 0 or get(ids[i] << SHIFT | ids[j]) != rank:
+        if ranks[i] != rank:
             continue
-        ids[i], ids[j] = made[rank], -1
+        j = after[i]
+        new = ids[i] = made[rank]
+        ids[j], ranks[j] = -1, None
         merges += 1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if (r := get(ids[i] << SHIFT | ids[k])) is not None:
+            r = ranks[i] = get(new << SHIFT | ids[k])
+            if r is not None:
                 heappush(heap, r << PLACE | i)
-        if (b := before[i]) >= 0 and (r := get(ids[b] << SHIFT | ids[i])) is not None:
-            heappush(heap, r << PLACE | b)
+        else:
+            ranks[i] = None
+        b = before[i]
+        if b >= 0:
+            r = ranks[b] = get(ids[b] << SHIFT | new)
+            if r is not None:
+                heappush(heap, r << PLACE | b)
     return merges, [x for x in ids if x >= 0] if want_ids else ids

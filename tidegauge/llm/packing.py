@@ -8,6 +8,7 @@ sequences. The last, shorter stretch of a partition is cut into powers of two, s
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.tables import keyed, mixed, settle, small_batches
-from tidegauge.llm.wordbpe import WordBpe, model_of, shared_file
+from tidegauge.llm.wordbpe import encoder, model_of, shared_file
 
 #: Width of the hashed vector, dimensions it is projected to, bits of the curve in each.
 WIDTH, DIMS, BITS = 256, 3, 16
@@ -71,16 +72,16 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, hkey and tokens (ids with ``end_id`` after them, two bytes each) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    data = shared_file(spark, path)
+    data, end = shared_file(spark, path), struct.pack("<H", end_id)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _, known = model_of(WordBpe, data)
+        model, known = model_of(("ids",), encoder, data)
         for batch in batches:
             bags = []
             for text in batch.column("text"):
                 known.trim()
-                parts = ([model.special[p]] if isinstance(p, str) else chain.from_iterable(map(known.__getitem__, p)) for p in model.split(text.as_py()))
-                bags.append(np.fromiter(chain(chain.from_iterable(parts), (end_id,)), np.uint16))
+                parts = ((struct.pack("<H", model.special[p]),) if isinstance(p, str) else map(known.__getitem__, p) for p in model.stretches(text.as_py()))
+                bags.append(np.frombuffer(b"".join(chain(chain.from_iterable(parts), (end,))), "<u2"))
             keys = curve_keys(bags) if bags else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())], ["doc_id", "hkey", "tokens"])
 

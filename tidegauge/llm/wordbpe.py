@@ -7,6 +7,8 @@ are produced. The counts equal those of the ``tokenizers`` library for the same
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -18,8 +20,14 @@ from pyspark.sql import DataFrame
 from tidegauge.llm import merging
 from tidegauge.llm.tables import keyed, small_batches
 
-#: Words kept in a task's memory before it starts afresh; it bounds memory, not what is counted.
-KNOWN_WORDS = 1_000_000
+#: Results kept in a task's memory before it starts afresh; it bounds memory, not what is counted.
+KNOWN = 500_000
+#: Longer strings are worked out each time.
+LONG = 64
+
+
+#: Python's str.split takes these for white space; Unicode doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 @cache
@@ -48,24 +56,30 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [self.vocab[symbols[b]] for b in range(256)]
         self.last = [self.vocab[symbols[b] + end] for b in range(256)]
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
+        self.any = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
         self.ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+        self.white = regex.compile(r"\p{White_Space}+")
+        self.count_of, self.library, self.symbol_of = Memo(self.count_word), None, byte_symbols()
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
 
-    def split(self, text: str) -> Iterator[list[str] | str]:
-        """The words of each stretch between special strings (a list), and the special strings."""
+    def stretches(self, text: str) -> Iterator[list[str] | str]:
+        """The chunks between white space of each stretch of text between special strings (a list),
+        and the special strings. No word crosses white space, so chunks can be treated alone."""
         at = 0
-        for m in self.marks.finditer(text):
-            yield self._words(text[at : m.start()])
+        for m in self.marks.finditer(text) if "<|" in text else ():
+            yield self._chunks(text[at : m.start()])
             yield m.group()
             at = m.end()
-        yield self._words(text[at:])
+        yield self._chunks(text[at:] if at else text)
 
-    def _words(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.ascii.findall(text.lower())
+    def _chunks(self, text: str) -> list[str]:
+        return self.white.split(text) if SEPARATORS.search(text) else text.split()
+
+    def words(self, chunk: str) -> list[str]:
+        if chunk.isascii():
+            return self.ascii.findall(chunk.lower())
         # lower-casing is by character: no final form of sigma
-        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return self.any.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
 
     def symbols(self, word: str) -> list[int]:
         data = word.encode()
@@ -73,23 +87,44 @@ class WordBpe:
         ids[-1] = self.last[data[-1]]
         return ids
 
-    def count(self, word: str) -> int:
+    def count_word(self, word: str) -> int:
         ids = self.symbols(word)
         return len(ids) - merging.merge(ids, self.pairs, self.made, False)[0]
 
-    def ids(self, word: str) -> list[int]:
-        return merging.merge(self.symbols(word), self.pairs, self.made, True)[1]
+    def count(self, chunk: str) -> int:
+        """Tokens of a chunk: initial symbols less merges, word by word."""
+        self.count_of.trim()
+        return sum(map(self.count_of.__getitem__, self.words(chunk)))
+
+
+class WordIds(WordBpe):
+    """The same vocabulary, for ids, which the ``tokenizers`` library's model gives word by word."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        super().__init__(data)
+        self.library = Tokenizer.from_str(data.decode()).model
+        self.pairs, self.made = {}, []
+
+    def packed(self, chunk: str) -> bytes:
+        """A chunk's ids, two bytes each."""
+        symbol_of, tokenize = self.symbol_of, self.library.tokenize
+        ids = [t.id for word in self.words(chunk) for t in tokenize(word if word.isascii() and word.isprintable() else "".join(map(symbol_of.__getitem__, word.encode())))]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
 
 class Memo(dict):
-    """Results by word; ``trim`` empties it when it has grown too large."""
+    """Results by string; ``trim`` empties it when it has grown too large."""
 
-    def __init__(self, of, most: int = KNOWN_WORDS):
+    def __init__(self, of, most: int = KNOWN):
         super().__init__()
         self.of, self.most = of, most
 
     def __missing__(self, word):
-        out = self[word] = self.of(word)
+        out = self.of(word)
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
     def trim(self) -> None:
@@ -100,15 +135,24 @@ class Memo(dict):
 _models: dict = {}
 
 
-def model_of(kind, data) -> tuple:
-    """(model, memo table) of a broadcast file, kept in the worker from task to task."""
-    key = (kind.__name__, data.value[0])
+def model_of(key: tuple, build, data):
+    """What ``build`` makes of a broadcast file, kept in the worker from task to task."""
+    key = (*key, data.value[0])
     if key not in _models:
-        m = kind(data.value[1])
-        _models[key] = (m, Memo(m.count), Memo(m.ids)) if kind is WordBpe else (m, Memo(m.encode))
+        _models[key] = build(data.value[1])
     return _models[key]
 
 
+def counter(data: bytes) -> tuple[WordBpe, Memo]:
+    model = WordBpe(data)
+    return model, Memo(model.count)
+
+
+def encoder(data: bytes) -> tuple[WordIds, Memo]:
+    model = WordIds(data)
+    return model, Memo(model.packed)
+
+
 def shared_file(spark, path: str):
     """The file as a broadcast: a vocabulary file, whose size doesn't depend on the tables."""
     with open(path, "rb") as f:
@@ -127,14 +171,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     data = shared_file(spark, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, _ = model_of(WordBpe, data)
+        model, known = model_of(("count",), counter, data)
         for batch in batches:
             sizes, counts = [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 known.trim()
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
-                counts.append(sum(1 if isinstance(part, str) else sum(map(known.__getitem__, part)) for part in model.split(text)))
+                counts.append(sum(1 if isinstance(part, str) else sum(map(known.__getitem__, part)) for part in model.stretches(text)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
