@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import bytebpe, jpeg, packing, wordbpe
+from tidegauge.llm import bytebpe, jpeg, minhash, packing, wordbpe
 from tidegauge.llm.tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op5_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.to_media(read(spark, sf_dir, "documents")))
 
 
+def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
@@ -31,7 +35,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_media_jpeg, op9_byte_bpe, op10_curve_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op5_media_jpeg, op7_minhash_near_duplicates, op9_byte_bpe, op10_curve_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
