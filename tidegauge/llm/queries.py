@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import bytebpe, jpeg, minhash, packing, wordbpe
+from tidegauge.llm import bytebpe, jpeg, minhash, packing, repeats, wordbpe
 from tidegauge.llm.tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), length=400)
+
+
 def op5_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.to_media(read(spark, sf_dir, "documents")))
 
@@ -35,7 +39,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_media_jpeg, op7_minhash_near_duplicates, op9_byte_bpe, op10_curve_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_suffix_repeats, op5_media_jpeg, op7_minhash_near_duplicates, op9_byte_bpe, op10_curve_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
