@@ -5,11 +5,6 @@ pair of its signature. Two classes that agree in at least ``MATCHES`` of ``COORD
 meet in a list of their prefix, the rarest ``COORDINATES - MATCHES + 1`` of their pairs; the longer
 lists are skipped and their collisions counted by comparing the signatures. What reaches the
 threshold is confirmed on the full shingle sets.
-
-A list never yields all its pairs at once. First each member meets the list's own centre, a member
-picked by hash, so that a group of n near copies gives n pairs a list; confirmed links are
-contracted to components. Then, in lists that still hold several components, the members outside
-the largest meet all others, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.components import components
+from tidegauge.llm.inverted import resolve
 from tidegauge.llm.tables import keyed, mixed, settle, signed, small_batches
 from tidegauge.llm.wordbpe import Memo
 
@@ -142,13 +137,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """``pairs`` whose ends aren't in one component of ``found`` (id, component)."""
-    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return joined.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -165,38 +153,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = settle(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     lists = settle(prefixes(classes.select("id", "sig")), "postings")
 
-    # each member with its list's centre, and all pairs of short lists
-    hashed = F.xxhash64("token", "id")
-    centres = lists.groupBy("token").agg(F.min_by("id", hashed).alias("centre"))
-    stars = lists.join(centres, "token").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    short = lists.filter("df <= 8")
-    couples = short.select("token", F.col("id").alias("a")).join(short.select("token", F.col("id").alias("b")), "token").filter("a < b").select("a", "b")
-    pairs = settle(matching(stars.filter("a < b").union(couples).distinct(), classes), "pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = settle(among(docs, involved).dropDuplicates(["doc_id"]), "texts")
-
-    # the best partner of each first, then what that leaves apart
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    edges = settle(confirmed(best, texts, n, percent), "links")
-    found = components(edges)
-    more = settle(confirmed(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), found), texts, n, percent), "links")
-    if more.take(1):
-        edges = edges.union(more)
-        found = components(edges)
-
-    # long lists that hold several components: members outside the largest meet all others
-    held = settle(lists.filter("df > 8").join(found.withColumnRenamed("component", "c"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("c")), "lists")
-    sizes = held.groupBy("token", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most")
-    outside = held.join(largest, "token").filter("c != most").select("token", F.col("id").alias("x"), F.col("c").alias("cx"))
-    cross = outside.join(held.select("token", F.col("id").alias("y"), "c"), "token").filter("c != cx").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = settle(matching(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes), "pairs")
-    if rest.take(1):
-        involved = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()
-        last = settle(confirmed(rest, settle(among(docs, involved).dropDuplicates(["doc_id"]), "texts"), n, percent), "links")
-        if last.take(1):
-            found = components(edges.union(last))
-
+    found = resolve(
+        lists,
+        candidates=lambda pairs: matching(pairs, classes),
+        fetch=lambda ids: settle(among(docs, ids).dropDuplicates(["doc_id"]), "texts"),
+        confirm=lambda pairs, texts: confirmed(pairs, texts, n, percent),
+    )
     merged = classes.select("set_a", "set_b", "id").join(found, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "set_a", "set_b").join(merged, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import bytebpe, jpeg, minhash, packing, repeats, wordbpe
+from tidegauge.llm import bytebpe, jpeg, lines, minhash, packing, repeats, search, wordbpe
 from tidegauge.llm.tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +31,16 @@ def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.without_repeated_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("deduplicated", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter("doc_id % 20 = 0"), k=10)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
@@ -39,7 +50,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_suffix_repeats, op5_media_jpeg, op7_minhash_near_duplicates, op9_byte_bpe, op10_curve_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_suffix_repeats, op5_media_jpeg, op6_fuzzy_lines, op7_minhash_near_duplicates, op8_bm25_topk, op9_byte_bpe, op10_curve_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
