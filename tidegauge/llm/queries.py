@@ -8,21 +8,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bytebpe, jpeg, lines, minhash, packing, repeats, search, wordbpe
+from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, repeats, search, wordbpe
 from tidegauge.llm.tables import read
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+#: The key of surrogates; a user sets their own secret.
+SURROGATE_KEY = "tidegauge"
+
+
+def document_languages(docs: DataFrame) -> DataFrame:
+    """Languages of ``documents``: lang is what they declare, source is their host."""
+    model = langid.train(docs, "text", "lang", "doc_id")
+    return langid.identify(docs, model, F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
+def op2_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over web pages, with declared markup language, address suffix and host."""
+    model = langid.train(read(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    found = langid.page_evidence(read(spark, sf_dir, "pages"))
+    out = langid.identify(found, model, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host"), id_col="page_id")
+    return out.withColumnRenamed("doc_id", "page_id").withColumn("probability", F.round("probability", 6))
+
+
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(read(spark, sf_dir, "documents"), length=400)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.with_surrogates(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return out.select("doc_id", "n_entities", F.col("redacted").alias("text"))
+
+
 def op5_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.to_media(read(spark, sf_dir, "documents")))
 
@@ -50,7 +75,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_suffix_repeats, op5_media_jpeg, op6_fuzzy_lines, op7_minhash_near_duplicates, op8_bm25_topk, op9_byte_bpe, op10_curve_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op2_language_id_pages, op3_suffix_repeats, op4_pii_surrogates, op5_media_jpeg, op6_fuzzy_lines, op7_minhash_near_duplicates, op8_bm25_topk, op9_byte_bpe, op10_curve_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
