@@ -69,7 +69,7 @@ def question_month(text: Column) -> Column:
 
 def trend_kinds(text: Column) -> Column:
     """"rapid rise, then slow fall" -> [rise, fall]: the last word of each part."""
-    parts = F.filter(F.transform(F.split(F.replace(F.lower(text), F.lit("then"), F.lit(",")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.replace(F.lower(text), F.lit("then"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: F.element_at(F.split(x, r"\s+"), -1))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,9 +130,6 @@ def subsequence(query: DataFrame, readings: DataFrame, top: int = 1) -> DataFram
 
 def dtw(query: DataFrame, readings: DataFrame, candidates: int = 10) -> DataFrame:
     """As ``subsequence``, the nearest ``candidates`` re-ranked by dynamic time warping."""
-    import numpy as np
-    import pandas as pd
-
     near = subsequence(query, readings, candidates)
     n = query.groupBy(*SERIES).agg(F.count("*").alias("len"), F.array_sort(F.collect_list(F.struct("offset", "q"))).alias("qs"))
     values = windows.position(readings).join(near.join(n, SERIES), SERIES).filter((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.col("len")))
@@ -169,13 +168,13 @@ def day_metric(readings: DataFrame, kind: str, least: int = 8, width: int = 4) -
         on = F.col("step") > 0 if kind == "rise" else F.col("step") < 0
         best = windows.longest_run(moved.withColumn("on", F.coalesce(on, F.lit(False))), "on", keys)
         ends = best.join(smooth.select(*keys, F.col("pos").alias("first"), F.col("smooth").alias("v1")), [*keys, "first"]).join(smooth.select(*keys, F.col("pos").alias("last"), F.col("smooth").alias("v2")), [*keys, "last"])
-        return ends.select(*keys, F.round(F.col("v2") - F.col("v1") if kind == "rise" else F.col("v1") - F.col("v2"), 6).alias("metric"))
+        return ends.select(*keys, F.round(F.col("v2") - F.col("v1") if kind == "rise" else F.col("v1") - F.col("v2"), 8).alias("metric"))
     steps = moved.filter("step is not null")
     quiet = windows.centred(steps, "quiet", F.stddev_samp, "step", width, keys).withColumn("quiet", F.round("quiet", 9))
     middle = quiet.groupBy(*keys).agg(F.median("quiet").alias("middle"))
     best = windows.longest_run(quiet.join(middle, keys).withColumn("on", F.coalesce(F.col("quiet") < F.col("middle"), F.lit(False))), "on", keys)
     inside = days.join(best.select(*keys, "first", "last"), keys).filter(F.col("pos").between(F.col("first"), F.col("last")))
-    return inside.groupBy(*keys).agg(F.round(F.stddev_pop("value"), 6).alias("metric"))
+    return inside.groupBy(*keys).agg(F.round(F.stddev_pop("value"), 8).alias("metric"))
 
 
 def composite_trend(readings: DataFrame, features: DataFrame, kinds: list[str], target: str, descending: bool, k: int = 5) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +50,6 @@ def aligned(g: Column, p: Column) -> Column:
 
     Reports have few segments, so the arrays are aligned in one vectorised call a batch.
     """
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     @F.pandas_udf("array<struct<g:int,p:int>>")
     def align(gk: pd.Series, pk: pd.Series) -> pd.Series:
         blocks = lambda a, b: [{"g": m.a + i, "p": m.b + i} for m in SequenceMatcher(None, list(a), list(b)).get_matching_blocks() for i in range(m.size)]

@@ -5,6 +5,10 @@ Readings are long: task_id, channel_id, ts, value. One row is one value of one c
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-    return events(spark, sf_dir).groupBy("task_id", "channel_id", hour.alias("ts")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return events(spark, sf_dir).groupBy("task_id", "channel_id", hour.alias("ts")).agg(F.round(F.avg("value"), 5).alias("value"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The views as common table expressions.
 SQL = {
     "ev": "ev AS (SELECT event_type AS channel_id, ts, value FROM events WHERE value IS NOT NULL)",
-    "hr": "hr AS (SELECT event_type AS channel_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2)",
+    "hr": "hr AS (SELECT event_type AS channel_id, date_trunc('hour', ts) AS ts, round(avg(value), 5) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2)",
     "dy": "dy AS (SELECT o_orderpriority AS channel_id, CAST(o_orderdate AS TIMESTAMP) AS ts, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2)",
     "hm": "hm AS (SELECT channel_id, strftime(ts, '%m-%d') AS d, round(avg(value), 4) AS base FROM dy GROUP BY 1, 2)",
     "pr": "pr AS (SELECT u.ts, u.up, d.down FROM (SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, round(sum(o_totalprice), 2) AS up FROM orders GROUP BY 1) u JOIN (SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, round(sum(l_extendedprice), 2) AS down FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) d ON u.ts = d.ts)",
@@ -58,3 +62,15 @@ SQL = {
 
 def sql(*names: str) -> str:
     return "WITH " + ", ".join(SQL[n] for n in names)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; a local one in local mode."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+        spark.sparkContext.setCheckpointDir(at)
+        at = spark.sparkContext.getCheckpointDir()
+    return os.path.join(at, f"{name}-{uuid.uuid4().hex}")
