@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from tidegauge.operators.windows import along, position
 from tidegauge.views import SERIES
 
-STATS = {"min": F.min("value"), "max": F.max("value"), "avg": F.avg("value"), "sum": F.sum("value"), "count": F.count("value").cast("double"), "std": F.stddev_samp("value")}
+def stats() -> dict[str, Column]:
+    return {"min": F.min("value"), "max": F.max("value"), "avg": F.avg("value"), "sum": F.sum("value"), "count": F.count("value").cast("double"), "std": F.stddev_samp("value")}
 
 
 def global_aggregate(df: DataFrame, function: Column | None = None, keys: list[str] = SERIES) -> DataFrame:
     """All statistics of each series, or, with ``function`` (a column of its name), the one asked for."""
     if function is None:
-        return df.groupBy(*keys).agg(*(c.alias(n) for n, c in STATS.items()))
-    out = df.withColumn("function", function).groupBy(*keys, "function").agg(*(c.alias(n) for n, c in STATS.items()))
+        return df.groupBy(*keys).agg(*(c.alias(n) for n, c in stats().items()))
+    out = df.withColumn("function", function).groupBy(*keys, "function").agg(*(c.alias(n) for n, c in stats().items()))
     pick = F.lit(None).cast("double")
-    for n in STATS:
+    for n in stats():
         pick = F.when(F.col("function") == n, F.col(n)).otherwise(pick)
     return out.select(*keys, pick.alias("answer"))
 

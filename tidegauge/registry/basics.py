@@ -106,10 +106,10 @@ def unbuilt(spark, d) -> DataFrame:
 add("incremental_build", unbuilt, "SELECT 't' || CAST(s_suppkey AS VARCHAR) AS task_id FROM supplier WHERE s_suppkey % 3 = 0")
 
 # filters
-RANGE = (F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-09 12:00:00").cast("timestamp_ntz"))
+RANGE = lambda: (F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-09 12:00:00").cast("timestamp_ntz"))
 RANGE_SQL = "ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'"
 add("proj_channels", lambda s, d: V.events(s, d).filter(F.col(CH).isin("click", "error")).select(CH, TS, "value"), V.sql("ev") + " SELECT channel_id, ts, value FROM ev WHERE channel_id IN ('click', 'error')")
-add("flt_closed_range", lambda s, d: V.events(s, d).filter(F.col(TS).between(*RANGE)).select(CH, TS, "value").orderBy(TS), V.sql("ev") + f" SELECT channel_id, ts, value FROM ev WHERE {RANGE_SQL}")
+add("flt_closed_range", lambda s, d: V.events(s, d).filter(F.col(TS).between(*RANGE())).select(CH, TS, "value").orderBy(TS), V.sql("ev") + f" SELECT channel_id, ts, value FROM ev WHERE {RANGE_SQL}")
 add("flt_halfopen_year", lambda s, d: V.daily(s, d).filter((F.col(TS) >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col(TS) < F.lit("1998-01-01").cast("timestamp_ntz"))).select(CH, TS, "value"), V.sql("dy") + " SELECT channel_id, ts, value FROM dy WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-01-01'")
 add("flt_halfopen_month", lambda s, d: V.daily(s, d).filter((F.col(TS) >= F.lit("1997-02-01").cast("timestamp_ntz")) & (F.col(TS) < F.lit("1997-02-01").cast("timestamp_ntz") + F.expr("interval 1 month"))).select(CH, TS, "value"), V.sql("dy") + " SELECT channel_id, ts, value FROM dy WHERE ts >= TIMESTAMP '1997-02-01' AND ts < TIMESTAMP '1997-03-01'")
 daily_words = lambda s, d: P.scale(V.hourly(s, d), "daily")
@@ -130,7 +130,7 @@ sx AS (SELECT channel_id, window_start, string_agg(letter, '' ORDER BY ts) AS sa
 
 
 WORDS = V.sql("hr") + ", " + STATS_SQL + ", " + sax_sql("hr", "day", "hour") + ", ft AS (SELECT st.*, sx.sax, sx.sax_len FROM st JOIN sx ON st.channel_id = sx.channel_id AND st.window_start = sx.window_start)"
-add("flt_window_overlap", lambda s, d: daily_words(s, d).filter((F.col("window_start") <= RANGE[1]) & (F.col("window_end") >= RANGE[0])).select(CH, "window_start", "sax"), WORDS + " SELECT channel_id, window_start, sax FROM ft WHERE window_start <= TIMESTAMP '2024-01-09 12:00:00' AND window_start + INTERVAL 1 DAY >= TIMESTAMP '2024-01-05'")
+add("flt_window_overlap", lambda s, d: daily_words(s, d).filter((F.col("window_start") <= RANGE()[1]) & (F.col("window_end") >= RANGE()[0])).select(CH, "window_start", "sax"), WORDS + " SELECT channel_id, window_start, sax FROM ft WHERE window_start <= TIMESTAMP '2024-01-09 12:00:00' AND window_start + INTERVAL 1 DAY >= TIMESTAMP '2024-01-05'")
 add("flt_sax_regexp", lambda s, d: daily_words(s, d).filter(sax.matches(F.col("sax"), F.lit(r"(.)\1{3,}"))).select(CH, "window_start", "sax"), WORDS + " SELECT channel_id, window_start, sax FROM ft WHERE regexp_matches(sax, 'a{4,}|b{4,}|c{4,}|d{4,}|e{4,}')")
 add("flt_sax_like", lambda s, d: daily_words(s, d).filter(F.col("sax").like("%aaa%")).select(CH, "window_start", "sax"), WORDS + " SELECT channel_id, window_start, sax FROM ft WHERE sax LIKE '%aaa%'")
 add("flt_feature_threshold", lambda s, d: daily_words(s, d).filter((F.round("std_val", 6) > 20) & (F.col("max_val") > 60)).select(CH, "window_start", F.round("std_val", 6).alias("std_val")), WORDS + " SELECT channel_id, window_start, round(std_val, 6) AS std_val FROM ft WHERE round(std_val, 6) > 20 AND max_val > 60")

@@ -26,8 +26,8 @@ def add(name: str, f, sql: str | None = None) -> None:
 
 
 RG = "rg AS (SELECT channel_id, min(ts) + INTERVAL 2 DAY AS a, min(ts) + INTERVAL 5 DAY AS b FROM ev GROUP BY 1)"
-asked = F.element_at(F.array(*map(F.lit, ["min", "max", "avg"])), F.length(CH) % 3 + 1)
-add("q_global_aggregation", lambda s, d: A.global_aggregate(J.task_readings(ranges(s, d), V.events(s, d)), asked).select(CH, F.round("answer", 8).alias("answer")), V.sql("ev") + f", {RG}, j AS (SELECT ev.* FROM ev JOIN rg USING (channel_id) WHERE ts BETWEEN a AND b) SELECT channel_id, round(CASE length(channel_id) % 3 WHEN 0 THEN min(value) WHEN 1 THEN max(value) ELSE avg(value) END, 8) AS answer FROM j GROUP BY 1")
+asked = lambda: F.element_at(F.array(*map(F.lit, ["min", "max", "avg"])), F.length(CH) % 3 + 1)
+add("q_global_aggregation", lambda s, d: A.global_aggregate(J.task_readings(ranges(s, d), V.events(s, d)), asked()).select(CH, F.round("answer", 8).alias("answer")), V.sql("ev") + f", {RG}, j AS (SELECT ev.* FROM ev JOIN rg USING (channel_id) WHERE ts BETWEEN a AND b) SELECT channel_id, round(CASE length(channel_id) % 3 WHEN 0 THEN min(value) WHEN 1 THEN max(value) ELSE avg(value) END, 8) AS answer FROM j GROUP BY 1")
 add("q_temporal_localization", lambda s, d: K.arg_extreme(J.task_readings(ranges(s, d), V.events(s, d)), "value", True).select(CH, TS), V.sql("ev") + f", {RG}, j AS (SELECT ev.*, row_number() OVER (PARTITION BY channel_id ORDER BY value DESC, ts) AS r FROM ev JOIN rg USING (channel_id) WHERE ts BETWEEN a AND b) SELECT channel_id, ts FROM j WHERE r = 1")
 add("q_interval_discovery", lambda s, d: D.interval_discovery(V.hourly(s, d), "<", 60.0).select(CH, "start", "end"), V.sql("hr") + f", {POS}, " + longest_sql("ps", "value < 60") + ' SELECT channel_id, s AS start, e AS "end" FROM lr')
 
@@ -131,8 +131,8 @@ def feature_sql(granularity: str) -> str:
     return "SELECT * FROM (" + V.sql("dy") + f", {stats}, " + SLOPE_SQL.format(u=u, src="dy") + ", " + sax_sql("dy", u, b) + " " + FEAT.format(g=granularity, u=u) + ")"
 
 
-shown = ("granularity", CH, "window_start", "window_end", "min_val", "max_val", F.round("avg_val", 7).alias("avg_val"), F.round("std_val", 6).alias("std_val"), F.round("slope", 4).alias("slope"), "sax_len", "sax")
-add("q_feature_build", lambda s, d: P.build(V.daily(s, d)).select(*shown), feature_sql("yearly") + " UNION ALL " + feature_sql("monthly"))
+shown = lambda: ("granularity", CH, "window_start", "window_end", "min_val", "max_val", F.round("avg_val", 7).alias("avg_val"), F.round("std_val", 6).alias("std_val"), F.round("slope", 4).alias("slope"), "sax_len", "sax")
+add("q_feature_build", lambda s, d: P.build(V.daily(s, d)).select(*shown()), feature_sql("yearly") + " UNION ALL " + feature_sql("monthly"))
 add("q_period_gridlines", lambda s, d: W.position(V.hourly(s, d)).filter((F.col("pos") % 24 == 0) & (F.col("pos") < 24 * 20)).select(CH, TS), V.sql("hr") + f", {POS} SELECT channel_id, ts FROM ps WHERE pos % 24 = 0 AND pos < 480")
 
 

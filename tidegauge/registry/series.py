@@ -73,47 +73,47 @@ add("win_segment_zscore", lambda s, d: V.hourly(s, d).withColumn("seg", F.floor(
 part = lambda s, d: V.table(s, d, "part")
 orders = lambda s, d: V.table(s, d, "orders")
 STAMP = "strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
-stamp = T.fmt_timestamp(F.col("o_orderdate"))
+stamp = lambda: T.fmt_timestamp(F.col("o_orderdate"))
 B = sax.breakpoints()
-add("fn_sax_breakpoints", lambda s, d: V.table(s, d, "region").select("r_regionkey", *(F.lit(round(b, 12)).alias(f"b{i}") for i, b in enumerate(B))), "SELECT r_regionkey, -0.841621233573 AS b0, -0.253347103136 AS b1, 0.253347103136 AS b2, 0.841621233573 AS b3 FROM region")
+add("fn_sax_breakpoints", lambda s, d: V.table(s, d, "region").select("r_regionkey", *(F.lit(round(b, 12)).alias(f"b{i}") for i, b in enumerate(B))), "SELECT r_regionkey, CAST(-0.841621233573 AS DOUBLE) AS b0, CAST(-0.253347103136 AS DOUBLE) AS b1, CAST(0.253347103136 AS DOUBLE) AS b2, CAST(0.841621233573 AS DOUBLE) AS b3 FROM region")
 add("fn_sax_letter", lambda s, d: V.hourly(s, d).withColumn("m", F.avg("value").over(W.Window.partitionBy(CH))).withColumn("p", F.stddev_pop("value").over(W.Window.partitionBy(CH))).select(CH, TS, sax.letter(F.col("value"), F.col("m"), F.col("p")).alias("letter")), V.sql("hr") + ", z AS (SELECT channel_id, ts, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM hr WINDOW w AS (PARTITION BY channel_id)) SELECT channel_id, ts, CASE WHEN z > 0.8416212335729143 THEN 'e' WHEN z > 0.2533471031357997 THEN 'd' WHEN z > -0.2533471031357997 THEN 'c' WHEN z > -0.8416212335729143 THEN 'b' ELSE 'a' END AS letter FROM z")
-kinds = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("rise"), F.lit("fall"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("stable"))).otherwise(F.array(F.lit("fall"), F.lit("stable"), F.lit("rise")))
-add("fn_kind_regex", lambda s, d: part(s, d).select("p_partkey", sax.kind_pattern(kinds).alias("pattern")), r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '[ab]+.*[de]+.*[de]+.*[ab]+' WHEN 1 THEN '(.)\1{3,}' ELSE '[de]+.*[ab]+.*(.)\1{3,}.*[ab]+.*[de]+' END AS pattern FROM part")
-shape = F.element_at(F.array(*map(F.lit, sax.SHAPES)), F.col("p_partkey").cast("int") % 6 + 1)
-add("fn_shape_regex", lambda s, d: part(s, d).select("p_partkey", sax.shape_pattern(shape).alias("pattern")), "SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(sax.SHAPES.values())) + " END AS pattern FROM part")
-question = F.concat(F.lit("Days with a "), F.when(F.col("p_size") % 2 == 0, "rapid rise, then slow fall").otherwise("steady stable, then rapid rise"), F.lit(" then gentle fall"))
+kinds = lambda: F.when(F.col("p_size") % 3 == 0, F.array(F.lit("rise"), F.lit("fall"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("stable"))).otherwise(F.array(F.lit("fall"), F.lit("stable"), F.lit("rise")))
+add("fn_kind_regex", lambda s, d: part(s, d).select("p_partkey", sax.kind_pattern(kinds()).alias("pattern")), r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '[ab]+.*[de]+.*[de]+.*[ab]+' WHEN 1 THEN '(.)\1{3,}' ELSE '[de]+.*[ab]+.*(.)\1{3,}.*[ab]+.*[de]+' END AS pattern FROM part")
+shape = lambda: F.element_at(F.array(*map(F.lit, sax.SHAPES)), F.col("p_partkey").cast("int") % 6 + 1)
+add("fn_shape_regex", lambda s, d: part(s, d).select("p_partkey", sax.shape_pattern(shape()).alias("pattern")), "SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(sax.SHAPES.values())) + " END AS pattern FROM part")
+question = lambda: F.concat(F.lit("Days with a "), F.when(F.col("p_size") % 2 == 0, "rapid rise, then slow fall").otherwise("steady stable, then rapid rise"), F.lit(" then gentle fall"))
 QUESTION = "'Days with a ' || CASE WHEN p_size % 2 = 0 THEN 'rapid rise, then slow fall' ELSE 'steady stable, then rapid rise' END || ' then gentle fall'"
-add("fn_parse_pattern", lambda s, d: part(s, d).select("p_partkey", F.array_join(T.trend_kinds(question), ">").alias("kinds")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'rise>fall>fall' ELSE 'stable>rise>fall' END AS kinds FROM part")
-target = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("such that the slow fall segment is the "), F.split("p_name", " ")[0])).otherwise(F.col("p_name"))
-add("fn_parse_target", lambda s, d: part(s, d).select("p_partkey", T.trend_target(target).alias("t")).select("p_partkey", "t.*"), "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'slow' ELSE 'rapid' END AS adj, CASE WHEN p_size % 3 = 0 THEN 'fall' ELSE 'rise' END AS kind, CASE WHEN p_size % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE 'fastest' END AS superlative FROM part")
-sup = F.element_at(F.array(*map(F.lit, ["fastest", "slowest", "steepest", "calmest"])), F.col("p_partkey").cast("int") % 4 + 1)
-add("fn_superlative_dir", lambda s, d: part(s, d).select("p_partkey", T.descending(sup, F.when(F.col("p_size") % 2 == 0, "stable").otherwise("rise"), F.when(F.col("p_size") % 4 == 0, "steady").otherwise("rapid")).alias("descending")), "SELECT p_partkey, p_partkey % 4 IN (0, 2) AND NOT (p_size % 4 = 0) AS descending FROM part")
-words = F.element_at(F.array(*map(F.lit, ["a flood", "a drought and a dip", "nothing", "wet, dry, low water"])), F.col("p_partkey").cast("int") % 4 + 1)
-add("fn_direction_words", lambda s, d: part(s, d).select("p_partkey", T.direction(words).alias("sign")), "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 2) THEN 1 ELSE -1 END AS sign FROM part")
+add("fn_parse_pattern", lambda s, d: part(s, d).select("p_partkey", F.array_join(T.trend_kinds(question()), ">").alias("kinds")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'rise>fall>fall' ELSE 'stable>rise>fall' END AS kinds FROM part")
+target = lambda: F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("such that the slow fall segment is the "), F.split("p_name", " ")[0])).otherwise(F.col("p_name"))
+add("fn_parse_target", lambda s, d: part(s, d).select("p_partkey", T.trend_target(target()).alias("t")).select("p_partkey", "t.*"), "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'slow' ELSE 'rapid' END AS adj, CASE WHEN p_size % 3 = 0 THEN 'fall' ELSE 'rise' END AS kind, CASE WHEN p_size % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE 'fastest' END AS superlative FROM part")
+sup = lambda: F.element_at(F.array(*map(F.lit, ["fastest", "slowest", "steepest", "calmest"])), F.col("p_partkey").cast("int") % 4 + 1)
+add("fn_superlative_dir", lambda s, d: part(s, d).select("p_partkey", T.descending(sup(), F.when(F.col("p_size") % 2 == 0, "stable").otherwise("rise"), F.when(F.col("p_size") % 4 == 0, "steady").otherwise("rapid")).alias("descending")), "SELECT p_partkey, p_partkey % 4 IN (0, 2) AND NOT (p_size % 4 = 0) AS descending FROM part")
+words = lambda: F.element_at(F.array(*map(F.lit, ["a flood", "a drought and a dip", "nothing", "wet, dry, low water"])), F.col("p_partkey").cast("int") % 4 + 1)
+add("fn_direction_words", lambda s, d: part(s, d).select("p_partkey", T.direction(words()).alias("sign")), "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 2) THEN 1 ELSE -1 END AS sign FROM part")
 add("fn_anomaly_mode", lambda s, d: part(s, d).select("p_partkey", T.anomaly_mode(F.when(F.col("p_size") % 2 == 0, "stays Flat").otherwise("moves")).alias("mode")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'flat' ELSE 'inverse' END AS mode FROM part")
-ask = F.concat(F.lit("between "), stamp, F.lit(" and "), stamp, F.lit(" of the month"))
-add("fn_question_times", lambda s, d: orders(s, d).select("o_orderkey", F.array_join(T.question_times(ask), "|").alias("times"), T.question_month(ask).alias("month")), f"SELECT o_orderkey, {STAMP} || '|' || {STAMP} AS times, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month FROM orders")
+ask = lambda: F.concat(F.lit("between "), stamp(), F.lit(" and "), stamp(), F.lit(" of the month"))
+add("fn_question_times", lambda s, d: orders(s, d).select("o_orderkey", F.array_join(T.question_times(ask()), "|").alias("times"), T.question_month(ask()).alias("month")), f"SELECT o_orderkey, {STAMP} || '|' || {STAMP} AS times, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month FROM orders")
 add("fn_parse_float", lambda s, d: orders(s, d).select("o_orderkey", T.parse_float(F.concat(F.lit("about 17, so "), F.format_string("%.2f", "o_totalprice"), F.when(F.col("o_orderkey") % 5 == 0, F.lit(" in 2020-09-11")).otherwise(" units"))).alias("x")), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -11.0 ELSE round(o_totalprice, 2) END AS x FROM orders")
-add("fn_parse_timestamp", lambda s, d: orders(s, d).select("o_orderkey", T.parse_timestamp(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("'"), F.replace(stamp, F.lit(" "), F.lit("T")), F.lit("Z'"))).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("never")).alias("t")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS TIMESTAMP) END AS t FROM orders")
-later = T.fmt_timestamp(F.col("o_orderdate") + F.expr("interval 36 hours"))
-spoken = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("["), later, F.lit(", "), stamp, F.lit("]"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("from "), stamp)).otherwise(F.concat(F.lit("["), stamp, F.lit(", "), later, F.lit("]")))
-add("fn_parse_interval", lambda s, d: orders(s, d).select("o_orderkey", T.parse_interval(spoken)[0].alias("a"), T.parse_interval(spoken)[1].alias("b")), "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS a, CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR END AS b FROM orders")
-dates = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2001-01-01"), F.date_format("o_orderdate", "yyyy-MM-dd"))
-add("fn_parse_date_set", lambda s, d: orders(s, d).select("o_orderkey", F.array_join(T.parse_date_set(T.fmt_date_set(dates)), ",").alias("days")), "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) = DATE '2001-01-01' THEN '2001-01-01' ELSE strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') || ',2001-01-01' END AS days FROM orders")
-seg = F.array(F.struct(F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 36 hours")).alias("end"), F.lit("rapid").alias("adj"), F.lit("rise").alias("kind")))
-spikes = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("value"))))
+add("fn_parse_timestamp", lambda s, d: orders(s, d).select("o_orderkey", T.parse_timestamp(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("'"), F.replace(stamp(), F.lit(" "), F.lit("T")), F.lit("Z'"))).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("never")).alias("t")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS TIMESTAMP) END AS t FROM orders")
+later = lambda: T.fmt_timestamp(F.col("o_orderdate") + F.expr("interval 36 hours"))
+spoken = lambda: F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("["), later(), F.lit(", "), stamp(), F.lit("]"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("from "), stamp())).otherwise(F.concat(F.lit("["), stamp(), F.lit(", "), later(), F.lit("]")))
+add("fn_parse_interval", lambda s, d: orders(s, d).select("o_orderkey", T.parse_interval(spoken())[0].alias("a"), T.parse_interval(spoken())[1].alias("b")), "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) END AS a, CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR END AS b FROM orders")
+dates = lambda: F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2001-01-01"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+add("fn_parse_date_set", lambda s, d: orders(s, d).select("o_orderkey", F.array_join(T.parse_date_set(T.fmt_date_set(dates())), ",").alias("days")), "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) = DATE '2001-01-01' THEN '2001-01-01' ELSE strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') || ',2001-01-01' END AS days FROM orders")
+seg = lambda: F.array(F.struct(F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 36 hours")).alias("end"), F.lit("rapid").alias("adj"), F.lit("rise").alias("kind")))
+spikes = lambda: F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("value"))))
 REPORT = f"""'1. Trend Segmentation: from ' || {STAMP} || ' to ' || strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') || ', the trend showed a rapid rise.' || chr(10) || '2. Outlier Audit: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'A significant spike was detected at ' || {STAMP} || ' (value: ' || printf('%.2f', o_totalprice) || ').' ELSE 'None.' END"""
-add("fn_fmt_report", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_report(seg, spikes).alias("report")), f"SELECT o_orderkey, {REPORT} AS report FROM orders")
-parsed = T.parse_report(F.col("r"))
-add("fn_parse_report", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_report(seg, spikes).alias("r")).select("o_orderkey", parsed[0][0]["start"].alias("start"), parsed[0][0]["end"].alias("end"), parsed[0][0]["kind"].alias("kind"), F.get(parsed[1], F.lit(0)).alias("outlier")), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS start, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR AS \"end\", 'rise' AS kind, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS outlier FROM orders")
+add("fn_fmt_report", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_report(seg(), spikes()).alias("report")), f"SELECT o_orderkey, {REPORT} AS report FROM orders")
+parsed = lambda: T.parse_report(F.col("r"))
+add("fn_parse_report", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_report(seg(), spikes()).alias("r")).select("o_orderkey", parsed()[0][0]["start"].alias("start"), parsed()[0][0]["end"].alias("end"), parsed()[0][0]["kind"].alias("kind"), F.get(parsed()[1], F.lit(0)).alias("outlier")), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS start, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR AS \"end\", 'rise' AS kind, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS outlier FROM orders")
 add("fn_parse_viz", lambda s, d: orders(s, d).select("o_orderkey", T.parse_timestamp(F.get(T.all_matches(F.concat(F.lit("seen "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or so")), T.DATE), F.lit(0))).alias("t")), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders")
 add("fn_fmt_scalar", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_scalar(F.col("o_totalprice") / 4).alias("x")), "SELECT o_orderkey, regexp_replace(regexp_replace(printf('%.6f', o_totalprice / 4), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS x FROM orders")
-add("fn_fmt_timestamp", lambda s, d: orders(s, d).select("o_orderkey", stamp.alias("t")), f"SELECT o_orderkey, {STAMP} AS t FROM orders")
+add("fn_fmt_timestamp", lambda s, d: orders(s, d).select("o_orderkey", stamp().alias("t")), f"SELECT o_orderkey, {STAMP} AS t FROM orders")
 add("fn_fmt_interval", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 36 hours")).alias("i")), f"SELECT o_orderkey, '[' || {STAMP} || ', ' || strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') || ']' AS i FROM orders")
-add("fn_fmt_date_set", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_date_set(F.when(F.col("o_orderkey") % 2 == 0, F.slice(dates, 1, 2))).alias("t")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '[''' || strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') || ''', ''2001-01-01'']' ELSE '[]' END AS t FROM orders")
-metric = F.element_at(F.array(*map(F.lit, ["rel_acc", "hit", "iou", "none"])), F.col("o_orderkey").cast("int") % 4 + 1)
-add("fn_fmt_dispatch", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_answer(metric, F.lit(2.5), F.col("o_orderdate"), F.col("o_orderdate"), F.col("o_orderdate"), F.array().cast("array<string>"), F.lit("r")).alias("t")), f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2.5' WHEN 1 THEN {STAMP} WHEN 2 THEN '[' || {STAMP} || ', ' || {STAMP} || ']' ELSE '' END AS t FROM orders")
-add("fn_validate_result", lambda s, d: orders(s, d).select("o_orderkey", T.result_status(metric, F.when(F.col("o_orderkey") % 8 == 0, "12.5").when(F.col("o_orderkey") % 8 == 1, stamp).when(F.col("o_orderkey") % 8 == 2, T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate"))).otherwise("?")).alias("status")), "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1, 2) THEN 'ok' ELSE 'shape_mismatch' END AS status FROM orders")
+add("fn_fmt_date_set", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_date_set(F.when(F.col("o_orderkey") % 2 == 0, F.slice(dates(), 1, 2))).alias("t")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '[''' || strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') || ''', ''2001-01-01'']' ELSE '[]' END AS t FROM orders")
+metric = lambda: F.element_at(F.array(*map(F.lit, ["rel_acc", "hit", "iou", "none"])), F.col("o_orderkey").cast("int") % 4 + 1)
+add("fn_fmt_dispatch", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_answer(metric(), F.lit(2.5), F.col("o_orderdate"), F.col("o_orderdate"), F.col("o_orderdate"), F.array().cast("array<string>"), F.lit("r")).alias("t")), f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2.5' WHEN 1 THEN {STAMP} WHEN 2 THEN '[' || {STAMP} || ', ' || {STAMP} || ']' ELSE '' END AS t FROM orders")
+add("fn_validate_result", lambda s, d: orders(s, d).select("o_orderkey", T.result_status(metric(), F.when(F.col("o_orderkey") % 8 == 0, "12.5").when(F.col("o_orderkey") % 8 == 1, stamp()).when(F.col("o_orderkey") % 8 == 2, T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate"))).otherwise("?")).alias("status")), "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1, 2) THEN 'ok' ELSE 'shape_mismatch' END AS status FROM orders")
 add("fn_window_end", lambda s, d: daily_words(s, d).select(CH, "window_start", "window_end"), WORDS + " SELECT channel_id, window_start, window_start + INTERVAL 1 DAY AS window_end FROM ft")
 add("fn_calendar_floor", lambda s, d: V.events(s, d).select(CH, TS, *(F.date_trunc(u, TS).cast("timestamp_ntz").alias(u) for u in ("year", "month", "day", "hour"))), V.sql("ev") + " SELECT channel_id, ts, CAST(date_trunc('year', ts) AS TIMESTAMP) AS year, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour FROM ev")
 add("fn_samples_per", lambda s, d: A.median_step(V.daily(s, d)).select(CH, A.samples_per(86400 * 2.5, F.col("step"), 2).alias("n")), V.sql("dy") + " SELECT DISTINCT channel_id, CAST(2 AS INTEGER) AS n FROM dy")
