@@ -31,6 +31,21 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
+def connect(pairs: DataFrame, known: DataFrame, confirm: Callable, edges: DataFrame | None, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links of ``pairs``, added to ``edges``, and their components.
+
+    The best partner of each item is looked at first; pairs that are in one component by then need
+    no look, so most pairs of a large group are never compared in full.
+    """
+    best = settle(pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    for some in (best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")):
+        new = settle(confirm(some if found is None else apart(some, found), known), "links")
+        if edges is None or new.take(1):
+            edges = new if edges is None else edges.union(new)
+            found = components(edges)
+    return edges, found
+
+
 def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Callable) -> DataFrame:
     """(id, component) of all ids with a confirmed link.
 
@@ -46,15 +61,7 @@ def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Ca
     pairs = settle(candidates(stars.filter("a < b").union(couples).distinct()), "pairs")
     known = fetch(ends(pairs))
 
-    # the best partner of each first, then what that leaves apart
-    best = settle(pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    edges = settle(confirm(best, known), "links")
-    found = components(edges)
-    more = settle(confirm(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), found), known), "links")
-    if more.take(1):
-        edges = edges.union(more)
-        found = components(edges)
-
+    edges, found = connect(pairs, known, confirm, None, None)
     held = settle(lists.filter(F.col("df") > SHORT).join(found.withColumnRenamed("component", "c"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("c")), "lists")
     sizes = held.groupBy("token", "c").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most")
@@ -62,7 +69,5 @@ def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Ca
     cross = outside.join(held.select("token", F.col("id").alias("y"), "c"), "token").filter("c != cx").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = settle(candidates(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
     if rest.take(1):
-        last = settle(confirm(rest.select("a", "b"), fetch(ends(rest))), "links")
-        if last.take(1):
-            found = components(edges.union(last))
+        edges, found = connect(rest, fetch(ends(rest)), confirm, edges, found)
     return found

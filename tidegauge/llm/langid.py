@@ -105,7 +105,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     indexes = F.sequence(F.lit(0), F.lit(len(languages) - 1))
     first_best = lambda a: F.array_position(a, F.array_max(a)).cast("int") - 1
     scored = scored.withColumn("best", first_best(F.col("evidence")))
-    each = [F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) for i in range(len(languages))]
+    each = [F.coalesce(F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)), F.lit(0.0)) for i in range(len(languages))]
 
     # hosts, then suffixes, then all: counts of each language as the texts alone have it
     hosts = settle(scored.filter("host is not null").groupBy("suffix", "host").agg(F.array(*each).alias("counts")), "hosts")

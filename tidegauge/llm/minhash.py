@@ -22,8 +22,8 @@ from tidegauge.llm.tables import keyed, mixed, settle, signed, small_batches
 from tidegauge.llm.wordbpe import Memo
 
 #: Signature length, and agreeing places a candidate needs. Of pairs with similarity 0.8, fewer than
-#: 18 of 40 places agree with probability below 1e-6.
-COORDINATES, MATCHES = 40, 18
+#: 60 of 96 places agree with probability below 1e-4.
+COORDINATES, MATCHES = 96, 60
 #: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
