@@ -93,12 +93,17 @@ def with_check_digit(number: Column) -> Column:
     return F.concat(F.substring(number, F.lit(1), F.length(number) - 1), F.pmod(F.lit(10) - F.pmod(summed, F.lit(10)), F.lit(10)).cast("string"))
 
 
-def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
-    """A surrogate for an entity, in the entity's own form; ``attempt`` gives another one."""
+def with_surrogate(df: DataFrame, key: str, attempt: int) -> DataFrame:
+    """``df`` (kind, entity) with surrogate, in the entity's own form; ``attempt`` gives another one.
+
+    The hash and the plain respelling are columns of their own, so that the plan names them once.
+    """
+    kind, entity = F.col("kind"), F.col("entity")
     salted = [F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, F.lit(str(attempt)), F.lit(str(i))), 256) for i in range(4)]
-    hexed = F.concat(*salted)
-    hex_only = entity.rlike(r"^(?i)[0-9a-f]+$") & (kind == "secret")
-    plain = spelled(hexed, F.split(entity, ""), hex_only)
+    df = df.withColumn("hexed", F.concat(*salted))
+    hexed, plain = F.col("hexed"), F.col("plain")
+    df = df.withColumn("hex_only", entity.rlike(r"^(?i)[0-9a-f]+$") & (kind == "secret"))
+    df = df.withColumn("plain", spelled(hexed, F.split(entity, ""), F.col("hex_only")))
     first = F.concat(F.substring(entity, 1, 1), F.substring(plain, F.lit(2), F.length(plain)))
     suffix = F.regexp_extract(entity, r"(\.[^.]+)$", 1)
     email = F.concat(F.substring(plain, F.lit(1), F.length(plain) - F.length(suffix)), suffix)
@@ -112,7 +117,7 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     family = F.concat(family, F.when(F.lit(attempt) >= ATTEMPTS, hexed).otherwise(""))
     person = F.concat(gender, F.lit("|"), F.when(own.contains(" ") & ~own.rlike(r"\p{IsCyrillic}|\p{IsGreek}"), F.concat(given, F.lit(" "), family)).otherwise(family))
     keeps_prefix = F.concat(F.substring(entity, 1, 4), F.substring(plain, F.lit(5), F.length(plain)))
-    return (
+    made = (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
         .when(kind == "card", with_check_digit(first))
@@ -122,6 +127,7 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
         .when(kind == "name", person)
         .otherwise(plain)
     )
+    return df.withColumn("surrogate", made).select("kind", "entity", "surrogate")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -133,7 +139,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     pending, done = settle(entities, "entities"), None
     everything = pending.select("kind", F.lower("entity").alias("cand")).distinct()
     for attempt in range(ATTEMPTS * 4):
-        tried = settle(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), key, attempt)).withColumn("cand", F.lower("surrogate")), "tried")
+        tried = settle(with_surrogate(pending, key, attempt).withColumn("cand", F.lower("surrogate")), "tried")
         first = tried.groupBy("kind", "cand").agg(F.min("entity").alias("entity"))
         first = first.join(everything, ["kind", "cand"], "left_anti")
         if done is not None:
