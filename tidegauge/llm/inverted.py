@@ -46,27 +46,35 @@ def connect(pairs: DataFrame, known: DataFrame, confirm: Callable, edges: DataFr
     return edges, found
 
 
-def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Callable) -> DataFrame:
+def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Callable, agree: Callable | None = None) -> DataFrame:
     """(id, component) of all ids with a confirmed link.
 
-    ``lists``: (token, id, df), where df is the number of the token's rows, 2 at least.
+    ``lists``: (token, id, df), where df is the number of the token's rows, 2 at least; with
+    ``agree`` also sketch, of which ``agree(one, other)`` is a condition that all links fulfil. It is
+    part of the joins, so that pairs which fail it are never rows.
     ``candidates``: of distinct pairs (a < b), those worth a full look, with ``matches``, the higher
     the likelier. ``fetch``: what ``confirm`` needs of some ids. ``confirm``: the linked pairs.
     """
     hashed = F.xxhash64("token", "id")
-    centres = lists.groupBy("token").agg(F.min_by("id", hashed).alias("centre"))
-    stars = lists.join(centres, "token").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    if agree is None:
+        lists, agree = lists.withColumn("sketch", F.lit(0)), lambda one, other: F.lit(True)
+    least, most = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    of = lambda df, to, *more: df.select("token", F.col("id").alias(to), F.col("sketch").alias(f"sketch_{to}"), *more)
+    fits = (F.col("token") == F.col("token_y")) & agree(F.col("sketch_x"), F.col("sketch_y"))
+    named = lambda df: df.withColumnRenamed("token", "token_y")
+    centres = lists.groupBy("token").agg(F.min_by(F.struct("id", "sketch"), hashed).alias("centre")).select("token", "centre.*")
+    stars = of(lists, "x").join(named(of(centres, "y")), fits & (F.col("x") != F.col("y"))).select(least, most)
     short = lists.filter(F.col("df") <= SHORT)
-    couples = short.select("token", F.col("id").alias("a")).join(short.select("token", F.col("id").alias("b")), "token").filter("a < b").select("a", "b")
-    pairs = settle(candidates(stars.filter("a < b").union(couples).distinct()), "pairs")
+    couples = of(short, "x").join(named(of(short, "y")), fits & (F.col("x") < F.col("y"))).select(least, most)
+    pairs = settle(candidates(stars.union(couples).distinct()), "pairs")
     known = fetch(ends(pairs))
 
     edges, found = connect(pairs, known, confirm, None, None)
-    held = settle(lists.filter(F.col("df") > SHORT).join(found.withColumnRenamed("component", "c"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("c")), "lists")
+    held = settle(lists.filter(F.col("df") > SHORT).join(found.withColumnRenamed("component", "c"), "id", "left").select("token", "id", "sketch", F.coalesce("c", "id").alias("c")), "lists")
     sizes = held.groupBy("token", "c").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most")
-    outside = held.join(largest, "token").filter("c != most").select("token", F.col("id").alias("x"), F.col("c").alias("cx"))
-    cross = outside.join(held.select("token", F.col("id").alias("y"), "c"), "token").filter("c != cx").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    outside = of(held.join(largest, "token").filter("c != most"), "x", F.col("c").alias("c_x"))
+    cross = outside.join(named(of(held, "y", "c")), fits & (F.col("c") != F.col("c_x"))).select(least, most).distinct()
     rest = settle(candidates(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
     if rest.take(1):
         edges, found = connect(rest, fetch(ends(rest)), confirm, edges, found)
