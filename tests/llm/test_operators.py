@@ -238,6 +238,13 @@ def test_wand_equals_full_scoring():
     assert [(s, -d) for s, d in shard.top(ids, idfs, 10)] == want
 
 
+def test_search_does_not_depend_on_shards(docs):
+    df = docs.filter("doc_id < 400")
+    asked = df.filter("doc_id % 20 = 0")
+    one, many = ({tuple(r) for r in search.top_k(df.repartition(n, "doc_id"), asked).collect()} for n in (1, 7))
+    assert one == many
+
+
 def test_line_dedup(spark, empty):
     a = "the quick brown fox jumps over the lazy dog near the quiet river bank every single morning of the year " * 3
     rows = [(1, f"{a}one\nfirst own line", 0), (2, f"{a.upper()}ONE!\nsecond own line\n\n", 0), (3, None, 0), (4, "", 0), (5, f"{a}one", 0), (6, "!!!\n???", 0)]
