@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, repeats, search, wordbpe
+from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, wordbpe
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -224,6 +224,23 @@ def test_search_equals_brute_force(docs, empty):
     assert search.top_k(empty, empty).count() == 0
 
 
+def test_search_by_whole_texts(spark, docs):
+    """op8 asks for all terms of a text, not only for the weightiest."""
+    bags = {d: collections.Counter(t.encode().translate(search._WORDS).split()) for d, t in texts(docs)}
+    size = {d: sum(c.values()) for d, c in bags.items()}
+    mean, df_of = sum(size.values()) / len(size), collections.Counter(w for c in bags.values() for w in c)
+    idf = {w: math.log(1 + (len(bags) - f + 0.5) / (f + 0.5)) for w, f in df_of.items()}
+    got = collections.defaultdict(list)
+    for r in queries.op8_bm25_topk(spark, SF).collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    asked = [d for d in bags if d % 20 == 0]
+    assert any(len(bags[q]) > 100 for q in asked) and set(got) == {q for q in asked if bags[q]}
+    for q in got:
+        scores = {d: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for w in bags[q] if w in c) for d, c in bags.items()}
+        want = sorted((-round(s, 9), d) for d, s in scores.items() if s > 0)[:10]
+        assert [(-round(s, 9), d) for _, d, s in sorted(got[q])] == want
+
+
 def test_wand_equals_full_scoring():
     rng = np.random.default_rng(1)
     terms = [np.repeat(rng.integers(0, 40, 30), rng.integers(1, 4, 30)).astype(np.uint64) for _ in range(2000)]

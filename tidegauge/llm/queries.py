@@ -63,7 +63,7 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return search.top_k(docs, docs.filter("doc_id % 20 = 0"), k=10)
+    return search.top_k(docs, docs.filter("doc_id % 20 = 0"), k=10, n_terms=None)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
