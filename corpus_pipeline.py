@@ -27,7 +27,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each without the lines that occur before in the corpus, nearly or exactly."""
-    return renewed(lines.without_repeated_lines(docs.select(COLUMNS)), "deduplicated")
+    return renewed(lines.without_repeated_lines(docs.select(COLUMNS), distance=None), "deduplicated")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

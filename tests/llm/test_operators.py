@@ -296,6 +296,37 @@ def test_line_dedup_equals_brute_force(docs):
     assert {r.doc_id: r.n_removed for r in lines.without_repeated_lines(df).collect()} == {d: gone[d] for d, _ in texts(df)}
 
 
+def test_line_dedup_recall_on_edit_similarity(spark):
+    """Near copies are found by edit similarity alone, whatever their SimHashes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    vocabulary, rows, size = [word() for _ in range(3000)], [], {}
+    for i in range(200):
+        words = [rng.choice(vocabulary) for _ in range((10, 20, 30, 50)[i % 4])]
+        copy = list(words)
+        for j in rng.sample(range(len(words)), len(words) // 10):
+            copy[j] = word()
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+        size[1000 + i] = len(words)
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect()}
+    assert all(not got[i] for i in range(200)) and sum(got[d] for d in size) >= 198
+
+
+def test_line_dedup_of_documents_equals_brute_force(spark):
+    """op6 removes what all pairs at edit similarity 0.8 link, without regard to SimHashes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = [(d, i, f.decode()) for d, t in texts(docs) for i, x in enumerate(t.split("\n")) if (f := lines.normal(x))]
+    forms = spark.createDataFrame([(f, len(f)) for f in sorted({f for _, _, f in own})], "f string, n int").repartition(32)
+    side = lambda x: forms.select(F.col("f").alias(x), F.col("n").alias(f"n_{x}"))
+    most = "cast(floor(greatest(n_a, n_b) * 20 / 100) as int)"
+    near = side("a").join(F.broadcast(side("b")), F.expr(f"a < b and abs(n_a - n_b) <= {most}")).filter(F.expr(f"levenshtein(a, b, {most}) >= 0"))
+    group, first = components_of([f for _, _, f in own], [(r.a, r.b) for r in near.select("a", "b").collect()]), {}
+    for d, i, f in own:
+        first[group[f]] = min(first.get(group[f], (d, i)), (d, i))
+    gone = collections.Counter(d for d, i, f in own if first[group[f]] != (d, i))
+    assert {r.doc_id: r.n_removed for r in queries.op6_fuzzy_lines(spark, SF).collect()} == {d: gone[d] for d, _ in texts(docs)}
+
+
 def test_languages_on_held_out_rows(docs, empty):
     model = langid.train(docs.filter("doc_id % 2 = 0"), "text", "lang", "doc_id")
     found = langid.identify(docs.filter("doc_id % 2 = 1"), model, F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("source"))

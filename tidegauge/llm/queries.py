@@ -57,7 +57,7 @@ def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.without_repeated_lines(read(spark, sf_dir, "documents"))
+    out = lines.without_repeated_lines(read(spark, sf_dir, "documents"), distance=None)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("deduplicated", F.lit("")), 256).alias("kept_sha256"))
 
 
