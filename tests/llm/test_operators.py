@@ -312,6 +312,26 @@ def test_line_dedup_recall_on_edit_similarity(spark):
     assert all(not got[i] for i in range(200)) and sum(got[d] for d in size) >= 198
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    near, far = list(words), list(words)
+    for copy, n in ((near, 400), (far, 1600)):
+        for j in rng.sample(range(4000), n):
+            copy[j] = "klmnop"
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, near, far))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(df, distance=None).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_within_equals_edit_distance(spark):
+    rng = random.Random(10)
+    rows = [tuple("".join(rng.choice("abé") for _ in range(rng.randint(0, 14))) for _ in range(2)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for a, b, d in df.select("a", "b", F.levenshtein("a", "b")).collect():
+        assert [lines.within(a, b, m) for m in range(15)] == [d <= m for m in range(15)]
+
+
 def test_line_dedup_of_documents_equals_brute_force(spark):
     """op6 removes what all pairs at edit similarity 0.8 link, without regard to SimHashes."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
