@@ -170,6 +170,27 @@ def test_repeats_equal_brute_force(spark, docs, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_repeats_in_segments(monkeypatch):
+    """A stretch at the end of a segment is one with its rest, so that it doesn't meet itself."""
+    text = random.Random(5).randbytes(4500)
+    whole = list(repeats.stretches(text, 400, 200))
+    assert len({a for _, _, a in whole}) == len(whole)
+    for size in (1000, 777, 64):
+        monkeypatch.setattr(repeats, "SEGMENT", size)
+        assert list(repeats.stretches(text, 400, 200)) == whole
+
+
+def test_repeats_across_segments_equal_brute_force(spark):
+    """Over SEGMENT, without and with a repeat that lies over the end of one."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(repeats.SEGMENT + 3000))
+    passage = text[repeats.SEGMENT - 300 : repeats.SEGMENT + 300]
+    rows = [(1, text), (2, "x" + passage), (3, text[: repeats.SEGMENT - 1000][::-1] + "".join(rng.choice("qrstuvwx") for _ in range(5000)))]
+    for some, want in (((0, 2), {1: 0, 3: 0}), ((0, 1), {1: 600, 2: 600})):
+        df = spark.createDataFrame([rows[i] for i in some], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in repeats.without_repeats(df, 400).collect()} == want
+
+
 def components_of(n, linked):
     own = {d: d for d in n}
 

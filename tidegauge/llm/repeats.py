@@ -63,13 +63,23 @@ def owners(data: np.ndarray, length: int, gram: int) -> np.ndarray:
 
 
 def stretches(text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
-    """(first start, last start, owner) of each run of starts with one owner."""
+    """(first start, last start, owner) of each run of starts with one owner, whole at segment ends."""
+    held = None
     for at in range(0, len(text) - length + 1, SEGMENT):
         data = np.frombuffer(text, np.uint8, min(SEGMENT + length - 1, len(text) - at), at)
         own = owners(data, length, gram)
         edges = np.flatnonzero(np.diff(own)) + 1
         first = np.concatenate([[0], edges])
-        yield from zip((first + at).tolist(), (np.concatenate([edges, [len(own)]]) - 1 + at).tolist(), (own[first] + at).tolist(), strict=True)
+        runs = zip((first + at).tolist(), (np.concatenate([edges, [len(own)]]) - 1 + at).tolist(), (own[first] + at).tolist(), strict=True)
+        for s, e, a in runs:
+            if held is None or held[2] != a:
+                if held:
+                    yield held
+                held = s, e, a
+            else:
+                held = held[0], e, a
+    if held:
+        yield held
 
 
 def signed64(h: int) -> int:
