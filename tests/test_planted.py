@@ -157,3 +157,12 @@ def test_streaming_daily_stats(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("daily_stats").orderBy("window_start").collect()
     assert [(r.min_val, r.max_val) for r in got] == [(0.0, 23.0), (24.0, 47.0), (48.0, 71.0)]
+
+
+def test_distinct_dates_gathers_no_rows(spark):
+    from tidegauge import registry
+
+    out = registry.queries()["set_distinct_dates"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert out.count() > 0 and dict(out.dtypes)["n"] == "bigint" and out.agg(F.max("n")).first()[0] <= events.count()

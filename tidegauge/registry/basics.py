@@ -204,4 +204,4 @@ add("set_union_pools", lambda s, d: V.table(s, d, "nation").select("n_name", F.l
 add("set_union_channels", lambda s, d: V.events(s, d).select(CH, TS).unionByName(V.daily(s, d).select(CH, TS)), V.sql("ev", "dy") + " SELECT channel_id, ts FROM ev UNION ALL SELECT channel_id, ts FROM dy")
 days_of = lambda s, d, r: V.events(s, d).filter(r).select(F.to_date(TS).alias("day"))
 add("set_intersection", lambda s, d: days_of(s, d, "channel_id = 'click' and value > 90").intersect(days_of(s, d, "channel_id = 'error' and value > 90")), V.sql("ev") + " SELECT CAST(ts AS DATE) AS day FROM ev WHERE channel_id = 'click' AND value > 90 INTERSECT SELECT CAST(ts AS DATE) FROM ev WHERE channel_id = 'error' AND value > 90")
-add("set_distinct_dates", lambda s, d: V.events(s, d).groupBy(CH).agg(F.size(F.array_distinct(F.collect_list(F.to_date(TS)))).cast("long").alias("n")), V.sql("ev") + " SELECT channel_id, count(DISTINCT CAST(ts AS DATE)) AS n FROM ev GROUP BY 1")
+add("set_distinct_dates", lambda s, d: V.events(s, d).groupBy(CH).agg(F.count_distinct(F.to_date(TS)).alias("n")), V.sql("ev") + " SELECT channel_id, count(DISTINCT CAST(ts AS DATE)) AS n FROM ev GROUP BY 1")
