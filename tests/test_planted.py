@@ -166,3 +166,12 @@ def test_distinct_dates_gathers_no_rows(spark):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert out.count() > 0 and dict(out.dtypes)["n"] == "bigint" and out.agg(F.max("n")).first()[0] <= events.count()
+
+
+def test_more_steps_than_the_bound_raise(spark):
+    rows = [(f"t{i}", "c", i, k * (1000 + i), 1.0) for i in range(101) for k in range(2)]
+    df = spark.createDataFrame(rows, "task_id string, channel_id string, i int, s int, value double")
+    readings = df.withColumn("ts", F.lit("2023-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s"))).drop("i", "s")
+    with pytest.raises(ValueError, match="100 median steps"):
+        detect.by_step(readings, lambda series, step: series)
+    assert detect.by_step(readings.filter("task_id in ('t1', 't2')"), lambda series, step: series).count() == 4

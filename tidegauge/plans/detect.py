@@ -19,10 +19,13 @@ from tidegauge.views import SERIES
 
 
 def by_step(readings: DataFrame, plan: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
-    """``plan(series, step in seconds)`` for the series of each median step; steps are few."""
+    """``plan(series, step in seconds)`` for the series of each median step; raises if there are over 100 steps."""
     steps = aggregates.median_step(readings).filter("step > 0")
+    distinct = steps.select("step").distinct().limit(101).collect()
+    if len(distinct) > 100:
+        raise ValueError("series have more than 100 median steps; round their times, or ask in parts")
     out = None
-    for (step,) in sorted(steps.select("step").distinct().limit(100).collect()):
+    for (step,) in sorted(distinct):
         part = plan(readings.join(steps.filter(F.col("step") == step).select(*SERIES), SERIES, "left_semi"), step)
         out = part if out is None else out.unionByName(part)
     if out is None:
