@@ -1,16 +1,16 @@
 """Components of links found in inverted lists, without all pairs of a long list.
 
-First each member of a list meets the list's own centre, a member picked by hash, so that a group of
-n similar items gives n pairs a list; confirmed links are contracted to components. Then, in lists
-that still hold several components, the members outside the largest meet all others. So no two
-components are left with a link between them.
+First each member of a list meets the list's two centres, and short lists give all their pairs;
+confirmed links are contracted to components. Then, in long lists that still hold several components,
+the members outside the largest meet all others. So no two components are left with a link between
+them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.components import components
@@ -46,36 +46,51 @@ def connect(pairs: DataFrame, known: DataFrame, confirm: Callable, edges: DataFr
     return edges, found
 
 
-def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Callable, agree: Callable | None = None) -> DataFrame:
+def resolve(lists: DataFrame, candidates: Callable, fetch: Callable, confirm: Callable, sketch: tuple[str, ...] = (), agree: Callable[[Callable, Callable], Column] | None = None, cross: Callable | None = None) -> DataFrame:
     """(id, component) of all ids with a confirmed link.
 
-    ``lists``: (token, id, df), where df is the number of the token's rows, 2 at least; with
-    ``agree`` also sketch, of which ``agree(one, other)`` is a condition that all links fulfil. It is
-    part of the joins, so that pairs which fail it are never rows.
-    ``candidates``: of distinct pairs (a < b), those worth a full look, with ``matches``, the higher
-    the likelier. ``fetch``: what ``confirm`` needs of some ids. ``confirm``: the linked pairs.
+    ``lists``: (token, id, df) and the columns of ``sketch``; df is the number of the token's rows, 2
+    at least. ``agree(x, y)``, of two functions from column name to column, is a condition that all
+    links fulfil; it is part of the joins, so that pairs which fail it are never rows.
+    ``candidates``: of (a, b) and the sketches, a < b, the distinct pairs worth a full look as (a, b,
+    matches), matches being higher the likelier the link. ``fetch``: what ``confirm`` needs of some
+    ids. ``confirm``: the linked pairs. ``cross``: given the members outside their list's largest
+    component and all members of these lists, both (token, id, df, sketch, c), enough links (a, b) to
+    join all components c that have one; without it, such pairs are joined like the first ones.
     """
-    hashed = F.xxhash64("token", "id")
     if agree is None:
-        lists, agree = lists.withColumn("sketch", F.lit(0)), lambda one, other: F.lit(True)
-    least, most = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    of = lambda df, to, *more: df.select("token", F.col("id").alias(to), F.col("sketch").alias(f"sketch_{to}"), *more)
-    fits = (F.col("token") == F.col("token_y")) & agree(F.col("sketch_x"), F.col("sketch_y"))
-    named = lambda df: df.withColumnRenamed("token", "token_y")
-    centres = lists.groupBy("token").agg(F.min_by(F.struct("id", "sketch"), hashed).alias("centre")).select("token", "centre.*")
-    stars = of(lists, "x").join(named(of(centres, "y")), fits & (F.col("x") != F.col("y"))).select(least, most)
-    short = lists.filter(F.col("df") <= SHORT)
-    couples = of(short, "x").join(named(of(short, "y")), fits & (F.col("x") < F.col("y"))).select(least, most)
-    pairs = settle(candidates(stars.union(couples).distinct()), "pairs")
-    known = fetch(ends(pairs))
-
-    edges, found = connect(pairs, known, confirm, None, None)
-    held = settle(lists.filter(F.col("df") > SHORT).join(found.withColumnRenamed("component", "c"), "id", "left").select("token", "id", "sketch", F.coalesce("c", "id").alias("c")), "lists")
+        agree = lambda x, y: F.lit(True)
+    short, long = lists.filter(F.col("df") <= SHORT), lists.filter(F.col("df") > SHORT)
+    pairs = settle(candidates(met(short, None, sketch, agree).union(met(long, centres(long, sketch), sketch, agree))), "pairs")
+    edges, found = connect(pairs, fetch(ends(pairs)), confirm, None, None)
+    held = settle(long.join(found.withColumnRenamed("component", "c"), "id", "left").select("token", "id", "df", *sketch, F.coalesce("c", "id").alias("c")), "held")
     sizes = held.groupBy("token", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most")
-    outside = of(held.join(largest, "token").filter("c != most"), "x", F.col("c").alias("c_x"))
-    cross = outside.join(named(of(held, "y", "c")), fits & (F.col("c") != F.col("c_x"))).select(least, most).distinct()
-    rest = settle(candidates(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
+    largest = settle(sizes.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "most"), "largest")
+    outside, mixed = held.join(largest, "token").filter("c != most").drop("most"), held.join(largest.select("token"), "token", "left_semi")
+    if cross is not None:
+        new = settle(cross(outside, mixed), "links")
+        return components(edges.union(new)) if new.take(1) else found
+    rest = settle(candidates(met(outside, mixed, sketch, agree, differing=True)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if rest.take(1):
         edges, found = connect(rest, fetch(ends(rest)), confirm, edges, found)
     return found
+
+
+def centres(lists: DataFrame, sketch: tuple[str, ...]) -> DataFrame:
+    """Two members of each list, chosen by a hash of their ids, so that lists of one group share theirs."""
+    own, by = F.struct("id", *sketch), F.xxhash64("id")
+    ends = lists.groupBy("token").agg(F.array(F.min_by(own, by), F.max_by(own, by)).alias("centres"))
+    return ends.select("token", F.explode("centres").alias("centre")).select("token", "centre.*")
+
+
+def met(lists: DataFrame, others: DataFrame | None, sketch: tuple[str, ...], agree: Callable, differing: bool = False) -> DataFrame:
+    """(a, b) and both sketches of members of ``lists`` that meet one of ``others``, or each other, in
+    a list and agree; of different components (c) only if ``differing``."""
+    more = ("c",) if differing else ()
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in ("token", "id", *sketch, *more)))
+    fits = (F.col("token_x") == F.col("token_y")) & agree(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))
+    fits &= F.col("id_x") < F.col("id_y") if others is None else F.col("id_x") != F.col("id_y")
+    if differing:
+        fits &= F.col("c_x") != F.col("c_y")
+    joined = side(lists, "x").join(side(lists if others is None else others, "y"), fits)
+    return joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), *(F.col(f"{c}_{x}") for c in sketch for x in "xy"))
