@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.inverted import resolve
-from tidegauge.llm.tables import keyed, mixed, settle, signed, small_batches
+from tidegauge.llm.tables import keyed, mixed, settle, settle_once, signed, small_batches
 from tidegauge.llm.wordbpe import Memo
 from tidegauge.llm.words import minima, words
 
@@ -30,7 +30,7 @@ PREFIX = COORDINATES - MATCHES + 1
 #: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members of a block, and shingles in all of them, about.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: White space between words is ASCII; A-Z are taken in lower case.
 _GAP = np.zeros(256, bool)
@@ -60,8 +60,8 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def signed_documents(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), the set itself and tokens, a
-    number for each coordinate and its value, of every document."""
+    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set) and tokens, a number for each
+    coordinate and its value, of every document."""
     small_batches(docs.sparkSession, mb=4)
     place = np.arange(COORDINATES, dtype=np.int64)
 
@@ -78,9 +78,20 @@ def signed_documents(docs: DataFrame, n: int) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.reshape(-1)))
             digest = [divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets]
             a, b = (signed(np.array([d[i] for d in digest], np.uint64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(a), pa.array(b), pa.array([s.tobytes() for s in sets], pa.binary()), tokens], ["doc_id", "n_shingles", "set_a", "set_b", "shingles", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(a), pa.array(b), tokens], ["doc_id", "n_shingles", "set_a", "set_b", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, shingles binary, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, shingles): the sets of the documents in ``ids`` (column id), eight bytes a shingle."""
+    small_batches(docs.sparkSession, mb=4)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), n)], pa.binary())], ["id", "shingles"])
+
+    return settle_once(among(docs, ids.select("id").distinct()).mapInArrow(run, "id long, shingles binary"), "sets")
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
@@ -200,17 +211,21 @@ def between(outside: DataFrame, members: DataFrame, classes: DataFrame, sets_of:
     by_count = F.ceil(F.col("df") / BLOCK).cast("long")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, last = set(), None
         for batch in batches:
-            for token, x, y in zip(batch.column("token"), batch.column("x"), batch.column("y"), strict=True):
+            for token, x, y in zip(batch.column("token").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                if token != last:  # rows of a list come one after the other
+                    told, last = set(), token
                 x, y = x.values, y.values
                 on = alike(coordinates(x.field("tokens")), coordinates(y.field("tokens")), x.field("c").to_numpy(), y.field("c").to_numpy())
-                ids = np.concatenate([x.field("id").to_numpy()[on.any(axis=1)], y.field("id").to_numpy()[on.any(axis=0)]])
-                out = np.concatenate([np.ones(int(on.any(axis=1).sum()), bool), np.zeros(int(on.any(axis=0).sum()), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), token.as_py())), pa.array(ids), pa.array(out)], ["token", "id", "out"])
+                new = {*x.field("id").to_numpy()[on.any(axis=1)].tolist(), *y.field("id").to_numpy()[on.any(axis=0)].tolist()} - told
+                told |= new
+                yield pa.RecordBatch.from_arrays([pa.array([token] * len(new), pa.int64()), pa.array(list(new), pa.int64())], ["token", "id"])
 
     columns = ["id", "c", "tokens"]
-    involved = in_blocks(outside.join(signs, "id"), members.join(signs, "id"), columns, by_count).mapInArrow(meet, "token long, id long, out boolean").distinct()
-    involved = settle(involved.join(members.select("token", "id", "c"), ["token", "id"]), "involved")
+    involved = in_blocks(outside.join(signs, "id"), members.join(signs, "id"), columns, by_count).mapInArrow(meet, "token long, id long").distinct()
+    out = outside.select("token", "id", F.lit(True).alias("out"))
+    involved = settle(involved.join(members.select("token", "id", "c"), ["token", "id"]).join(out, ["token", "id"], "left"), "involved")
     if not involved.take(1):
         return spark.createDataFrame([], "a long, b long")
 
@@ -220,12 +235,12 @@ def between(outside: DataFrame, members: DataFrame, classes: DataFrame, sets_of:
                 found = links(x.values, y.values, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    full = settle(sets_of(involved), "sets")
+    full = sets_of(involved)
     rows = involved.join(full, "id").join(signs, "id")
     load = involved.join(full.select("id", (F.octet_length("shingles") / 8).alias("size")), "id").groupBy("token").agg(F.count("*").alias("df"), F.sum("size").alias("all"))
     rows = settle(rows.join(load, "token"), "members")
     by_size = F.ceil(F.greatest(F.col("df") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("long")
-    return in_blocks(rows.filter("out"), rows.filter("not out"), [*columns, "shingles"], by_size).mapInArrow(link, "a long, b long").distinct()
+    return in_blocks(rows.filter("out"), rows, [*columns, "shingles"], by_size).mapInArrow(link, "a long, b long").distinct()
 
 
 def links(x: pa.StructArray, y: pa.StructArray, percent: int) -> list[tuple[int, int]]:
@@ -268,14 +283,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = full.filter("doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
     classes = settle(classes, "classes")
     lists = settle(prefixes(classes.select("id", "tokens")), "postings")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return full.select(F.col("doc_id").alias("id"), "shingles").join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets_of = lambda ids: full_sets(docs, ids, n)
 
     found = resolve(
         lists,
         candidates=lambda pairs: matching(pairs, classes),
-        fetch=lambda ids: settle(sets_of(ids), "sets"),
+        fetch=sets_of,
         confirm=lambda pairs, own: confirmed(pairs, own, percent),
         cross=lambda outside, members: between(outside, members, classes, sets_of, percent),
     )

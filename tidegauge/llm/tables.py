@@ -45,6 +45,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def settle_once(df: DataFrame, name: str) -> DataFrame:
+    """As ``settle``, with one row for each ``id``; only rows that repeat an id cost a shuffle of all."""
+    out = settle(df, name)
+    return out if out.count() == out.select("id").distinct().count() else settle(out.dropDuplicates(["id"]), name)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as ``doc_id`` and the text as ``text`` (null: empty); other columns go."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
