@@ -13,18 +13,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.tables import settle
+from tidegauge.llm.tables import free, settle
 
 #: Attempts before a surrogate is spelled out from the whole hash.
 ATTEMPTS = 6
 TITLES = {"m": r"Mr\.|Mister|Herr|Monsieur|Señor", "f": r"Mrs\.|Ms\.|Miss|Frau|Mme|Madame|Señora", "n": r"Dr\.|Prof\."}
 NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLED = "|".join(TITLES.values())
+# What stands before a secret; it is matched with it and written back.
+_KEYWORD = r"(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
 #: Type -> pattern, in order of precedence at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+\-]{8,}",
+    "secret": rf"{_KEYWORD}(?!AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9]))[A-Za-z0-9_/+\-]{{8,}}+(?![A-Za-z0-9._%+\-]*@)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(\d{2,4}\))?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)",
@@ -32,12 +34,26 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "name": rf"(?<!\p{{L}})(?:{_TITLED}) {NAME}(?: {NAME})?",
 }
+#: What each text with an entity has somewhere, cheap to look for: most texts are never searched.
+SIGNS = (
+    r"[0-9](?:\.[0-9]{1,3}\.|[0-9]{2}-[0-9]{2}-|[0-9]{3}[ \-][0-9]{4}|[0-9]{12})|\+[0-9]|\([0-9]{3}\)|[A-Z]{2}[0-9]{2}[ A-Z0-9]",
+    r"[MHFSDP](?:rs?\.|s\.|ister|iss|me|adame|onsieur|err|rau|eñora?|rof\.) \p{Lu}",
+    r"[tTpPsSaA](?i:oken|assword|asswd|ecret|pi_key|pikey)\s{0,3}[=:]",
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Given names of the surrogates by gender; family names are spelled from syllables.
 GIVEN = {"m": ["Adam", "Brian", "Carl", "David", "Edgar", "Felix", "Gregor", "Henri", "Ivan", "Jonas"], "f": ["Alice", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia"], "n": ["Alex", "Robin", "Kim", "Sascha", "Toni", "Noel", "Kay", "Dominique", "Jules", "Luca"]}
 SYLLABLES = {"latin": ["ba", "do", "fe", "gi", "ka", "lu", "ma", "ne", "po", "ri", "sa", "ti", "vo", "wi", "ze", "ro"], "cyrillic": ["ба", "до", "фе", "ги", "ка", "лу", "ма", "не", "по", "ри", "са", "ти", "во", "ви", "зе", "ро"], "greek": ["βα", "δο", "φε", "γι", "κα", "λυ", "μα", "νε", "πο", "ρι", "σα", "τι", "βο", "ξι", "ζε", "ρο"]}
 
 
+def searched(text: Column) -> Column:
+    """Whether ``text`` may have an entity."""
+    out = text.contains("@") | text.contains("AKIA")
+    for sign in SIGNS:
+        out |= text.rlike(sign)
+    return out
+
+
 def kind_of(mention: Column) -> Column:
     """The type of a mention: the first pattern that it matches as a whole; secrets have none."""
     out = F.lit("secret")
@@ -65,6 +81,7 @@ def entity_of(kind: Column, mention: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "email", F.lower(mention))
         .when(kind == "name", F.concat(gender_of(mention), F.lit("|"), F.lower(name_part(mention))))
+        .when(kind == "secret", F.regexp_replace(mention, f"^{_KEYWORD}", ""))
         .otherwise(mention)
     )
 
@@ -165,6 +182,7 @@ def fitted(kind: Column, mention: Column, value: Column) -> Column:
         .when(kind == "email", cased)
         .when(kind == "iban", spaced)
         .when(kind == "name", F.concat(title, F.substring(value, F.lit(3), F.length(value))))
+        .when(kind == "secret", F.concat(F.regexp_extract(mention, f"^({_KEYWORD})", 1), value))
         .otherwise(value)
     )
 
@@ -173,20 +191,21 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """``docs`` with n_entities and redacted: the text with its entities replaced.
 
     Null texts stay null with 0 entities; texts without entities stay as they are. Equal entities
-    get equal surrogates in all documents, different ones different surrogates. Ids should be
-    distinct; rows that repeat an id with its text get the same result. Other columns are kept.
+    get equal surrogates in all documents, different ones different surrogates. Ids should tell texts
+    apart; rows that repeat an id with its text get the same result, and a row with a null id goes by
+    a hash of its text. Other columns are kept; those named like a result give way to it.
     """
-    clash = {"n_entities", "redacted", "_found", "_own"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs has columns that the result needs: {sorted(clash)}")
-    found = docs.select(F.col(id_col).alias("_own"), F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)).alias("m")).filter(F.size("m") > 0)
-    mentions = found.dropDuplicates(["_own"]).select("_own", F.posexplode("m").alias("pos", "mention"))
+    text, own, new = F.col(text_col), free(docs, "own"), free(docs, "new")
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.xxhash64(text).cast("string")))
+    found = docs.filter(searched(text)).select(named.alias("own"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("m")).filter(F.size("m") > 0)
+    mentions = found.dropDuplicates(["own"]).select("own", F.posexplode("m").alias("pos", "mention"))
     mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
     mentions = settle(mentions.withColumn("entity", entity_of(F.col("kind"), F.col("mention"))), "mentions")
     surrogates = assign(mentions.select("kind", "entity").distinct(), key)
-    placed = mentions.join(surrogates, ["kind", "entity"]).select("_own", "pos", fitted(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
-    by_doc = placed.groupBy("_own").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("_found"))
-    out = docs.join(by_doc, F.col(id_col) == F.col("_own"), "left")
-    pieces = F.split(F.col(text_col), ANY, -1)
-    woven = F.array_join(F.flatten(F.zip_with(pieces, F.col("_found"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return out.select(*docs.columns, F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"), F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(woven).alias("redacted"))
+    placed = mentions.join(surrogates, ["kind", "entity"]).select("own", "pos", fitted(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
+    by_doc = placed.groupBy(F.col("own").alias(own)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias(new))
+    out = docs.join(by_doc, named == F.col(own), "left")
+    pieces = F.split(text, ANY, -1)
+    woven = F.array_join(F.flatten(F.zip_with(pieces, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    results = {"n_entities": F.coalesce(F.size(new), F.lit(0)).cast("long"), "redacted": F.when(F.col(new).isNull(), text).otherwise(woven)}
+    return out.select(*(c for c in docs.columns if c.lower() not in results), *(c.alias(n) for n, c in results.items()))
