@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.functions import sax
 from tidegauge.functions import text as T
 from tidegauge.operators import joins, topk, windows
 from tidegauge.plans import detect, insight, scoring
@@ -175,3 +176,22 @@ def test_more_steps_than_the_bound_raise(spark):
     with pytest.raises(ValueError, match="100 median steps"):
         detect.by_step(readings, lambda series, step: series)
     assert detect.by_step(readings.filter("task_id in ('t1', 't2')"), lambda series, step: series).count() == 4
+
+
+def test_times_within_text(spark):
+    rows = [("at 2022-09-21 03:00:00", "2022-09-21 03:00:00"), ("2022-09-21T03:00:00+00:00", "2022-09-21 03:00:00"), ("2022-09-21 03:00:00.750", "2022-09-21 03:00:00.750000"), ("'2022-09-21'", "2022-09-21 00:00:00"), ("2022-09-21 03:00", "2022-09-21 03:00:00"), ("never", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    got = df.select("t", "want", T.parse_timestamp(F.col("t")).alias("got")).collect()
+    assert [(r.t, None if r.got is None else str(r.got)) for r in got] == rows
+
+
+def test_interval_with_fractions(spark):
+    rows = [("[2022-01-01 00:00:00.750, 2022-01-01 00:00:02.250]", "[2022-01-01 00:00:00, 2022-01-01 00:00:02]")]
+    df = spark.createDataFrame(rows, "p string, g string")
+    iou = scoring.iou(*T.parse_interval(F.col("p")), *T.parse_interval(F.col("g")))
+    assert abs(df.select(iou.alias("x")).first().x - 1.25 / 2.25) < 1e-6
+
+
+def test_invalid_pattern_is_held_by_no_word(spark):
+    df = spark.createDataFrame([("abc",)], "w string")
+    assert [tuple(r) for r in df.select(sax.matches(F.col("w"), "b("), sax.matches(F.col("w"), "b")).collect()] == [(False, True)]

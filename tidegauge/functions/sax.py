@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -44,6 +46,15 @@ def shape_pattern(shape: Column) -> Column:
     return F.coalesce(*(F.when(shape == name, F.lit(p)) for name, p in SHAPES.items()))
 
 
-def matches(sax: Column, pattern: Column) -> Column:
-    """Whether the word holds the pattern anywhere; a null word or pattern doesn't."""
+def matches(sax: Column, pattern: Column | str) -> Column:
+    """Whether the word holds the pattern anywhere; a null word or pattern doesn't.
+
+    A pattern given as a string may be invalid: then no word holds it. A column's must be valid.
+    """
+    if isinstance(pattern, str):
+        try:
+            re.compile(pattern)
+        except re.error:
+            return F.lit(False)
+        pattern = F.lit(pattern)
     return F.coalesce(F.regexp(sax, pattern), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How times, dates and numbers are written.
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}"
 DATE = r"\d{4}-\d{2}-\d{2}"
 NUMBER = r"[-+]?\d+\.\d+|[-+]?\d+"
@@ -23,21 +24,24 @@ def parse_float(text: Column) -> Column:
     return F.try_element_at(all_matches(text, NUMBER), F.lit(-1)).try_cast("double")
 
 
+def full_time(text: Column) -> Column:
+    """``text``, a full time, with a fraction of a second or without; null if there is no such time."""
+    return F.replace(text, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+
+
 def parse_timestamp(text: Column) -> Column:
-    """A time in any of four formats; quotes, brackets, T and Z are tolerated."""
+    """The first full time anywhere in the text, else the whole text as a time in any of four formats;
+    quotes, brackets, T and Z are tolerated."""
+    full = full_time(F.regexp_extract(text, rf"{TIMESTAMP}(?:\.\d+)?", 0))
     bare = F.trim(F.regexp_replace(F.translate(text, "'\"[]()", ""), "(?<=\\d)[TZ]", " "))
     tries = [F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]
-    return F.coalesce(*tries).cast("timestamp_ntz")
-
-
-def at(texts: Column, i: int) -> Column:
-    return F.try_to_timestamp(F.replace(F.get(texts, F.lit(i)), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return F.coalesce(full, F.coalesce(*tries).cast("timestamp_ntz"))
 
 
 def parse_interval(text: Column) -> tuple[Column, Column]:
     """The first two full times, in order; null if there aren't two."""
-    found = all_matches(text, TIMESTAMP)
-    a, b = at(found, 0), at(found, 1)
+    found = all_matches(text, rf"{TIMESTAMP}(?:\.\d+)?")
+    a, b = full_time(F.get(found, F.lit(0))), full_time(F.get(found, F.lit(1)))
     both = a.isNotNull() & b.isNotNull()
     return F.when(both, F.least(a, b)), F.when(both, F.greatest(a, b))
 

@@ -99,7 +99,9 @@ def score(df: DataFrame) -> DataFrame:
     p, g = F.col("prediction"), F.col("ground_truth")
     (a, b), (c, d) = text.parse_interval(p), text.parse_interval(g)
     plain = F.when(F.col("eval_metric") == "rel_acc", rel_acc(text.parse_float(p), text.parse_float(g))).when(F.col("eval_metric") == "hit", hit(text.parse_timestamp(p), text.parse_timestamp(g))).when(F.col("eval_metric") == "iou", iou(a, b, c, d)).when(F.col("eval_metric") == "set_f1", set_f1(text.parse_date_set(p), text.parse_date_set(g)))
-    out = report_parts(df, "prediction", "ground_truth")
+    # rows of other metrics have no report to parse and align
+    report = lambda c: F.when(F.col("eval_metric") == "report", c).otherwise("")
+    out = report_parts(df.withColumns({"_own_p": report(p), "_own_g": report(g)}), "_own_p", "_own_g").drop("_own_p", "_own_g")
     return out.withColumn("score", F.coalesce(F.when(F.col("eval_metric") == "report", F.col("breakdown.overall")).otherwise(plain), F.lit(0.0))).withColumn("breakdown", F.when(F.col("eval_metric") == "report", F.col("breakdown")))
 
 
