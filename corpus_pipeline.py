@@ -20,24 +20,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the others go."""
+    """Documents whose language is known; the others go. Rows with a null id stay, as nothing tells
+    which row was rejected; rows that repeat an id with its text stay or go together."""
     kept = document_languages(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS).union(docs.filter("doc_id is null").select(COLUMNS))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each without the lines that occur before in the corpus, nearly or exactly."""
+    """All documents, each without the lines that occur before in the corpus, nearly or exactly. A row
+    with a null id goes by a hash of its text."""
     return renewed(lines.without_repeated_lines(docs.select(COLUMNS), distance=None), "deduplicated")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates (five-word shingles)."""
+    """One document, that of the least id, of each group of near duplicates (five-word shingles); of
+    rows that repeat an id, one. Of rows with a null id, one of each text stays."""
     kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    known = docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    # a row is dropped only where its id comes again, so no text is shuffled for ids that occur once
+    again = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    once = known.join(again, "doc_id", "left_anti").union(known.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.union(docs.filter("doc_id is null").select(COLUMNS).dropDuplicates(["text"]))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and secrets replaced by surrogates."""
+    """All documents, personal data and secrets replaced by surrogates; null ids are no exception."""
     return renewed(pii.with_surrogates(docs.select(COLUMNS), SURROGATE_KEY), "redacted")
 
 
