@@ -24,7 +24,7 @@ from tidegauge.llm.wordbpe import Memo
 from tidegauge.llm.words import minima, words
 
 #: Signature length, and agreeing places a candidate needs. Of pairs with similarity 0.8, fewer than
-#: 27 of 48 places agree with probability 1e-4.
+#: 27 of 48 places agree with probability 5e-5.
 COORDINATES, MATCHES = 48, 27
 PREFIX = COORDINATES - MATCHES + 1
 #: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
