@@ -245,6 +245,14 @@ def test_search_equals_brute_force(docs, empty):
     assert search.top_k(empty, empty).count() == 0
 
 
+def test_search_of_odd_rows(spark):
+    """Null ids, null and empty texts, equal scores, a clashing column."""
+    rows = [(None, "red fox", 1), (1, "red fox", 1), (2, "red fox", 1), (3, None, 1), (4, "", 1), (5, "blue", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    got = {(r.query_id, r.rank, r.doc_id) for r in search.top_k(df, df).collect()}
+    assert got == {(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (5, 1, 5)}
+
+
 def test_search_by_whole_texts(spark, docs):
     """op8 asks for all terms of a text, not only for the weightiest."""
     bags = {d: collections.Counter(t.encode().translate(search._WORDS).split()) for d, t in texts(docs)}
