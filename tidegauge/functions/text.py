@@ -121,7 +121,7 @@ def fmt_date_set(dates: Column) -> Column:
 def fmt_report(segments: Column, outliers: Column) -> Column:
     """The two-line text of a report; "None." for an empty part."""
     seg = F.array_join(F.transform(segments, lambda s: F.concat(F.lit("from "), fmt_timestamp(s["start"]), F.lit(" to "), fmt_timestamp(s["end"]), F.lit(", the trend showed a "), s["adj"], F.lit(" "), s["kind"])), "; ")
-    out = F.array_join(F.transform(outliers, lambda o: F.concat(F.lit("A significant spike was detected at "), fmt_timestamp(o["timestamp"]), F.coalesce(F.format_string(" (value: %.2f)", o["value"]), F.lit("")))), ". ")
+    out = F.array_join(F.transform(outliers, lambda o: F.concat(F.lit("A significant spike was detected at "), fmt_timestamp(o["timestamp"]), F.when(o["value"].isNotNull(), F.format_string(" (value: %.2f)", o["value"])).otherwise(""))), ". ")
     line = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "None.").otherwise(F.concat(c, F.lit(".")))
     return F.concat(F.lit("1. Trend Segmentation: "), line(seg), F.lit("\n2. Outlier Audit: "), line(out))
 

@@ -60,3 +60,29 @@ def with_predictions(tasks: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def pending(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(done.select("id").distinct(), "id", "left_anti")
+
+
+def all_if_none(hits: DataFrame, everything: DataFrame, keys: list[str]) -> DataFrame:
+    """``hits``, and for keys without any all rows of ``everything`` (same columns)."""
+    return hits.unionByName(everything.join(hits.select(*keys).distinct(), keys, "left_anti").select(*hits.columns))
+
+
+def focused(readings: DataFrame, found: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Readings round each series' interval (keys, start, end): twice its width on both sides, three days
+    if it has none; all of a series that has no interval or no reading there."""
+    width = F.col("end") - F.col("start")
+    pad = F.when(F.col("end") > F.col("start"), width * 2).otherwise(F.expr("interval 3 days"))
+    spans = found.select(*keys, (F.col("start") - pad).alias("_a"), (F.col("end") + pad).alias("_b"))
+    near = readings.join(spans, keys).filter(F.col("ts").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return all_if_none(near.select(*readings.columns), readings, keys)
+
+
+def chosen_channels(readings: DataFrame, channels: list[str]) -> DataFrame:
+    """Readings of the named channels. Raises if one is unknown, and names up to 100 that there are."""
+    known = readings.select("channel_id").distinct()
+    there = {r[0] for r in known.filter(F.col("channel_id").isin(channels)).collect()}  # as many as were asked for
+    unknown = [c for c in channels if c not in there]
+    if unknown:
+        some = [r[0] for r in known.orderBy("channel_id").limit(100).collect()]
+        raise ValueError(f"unknown channels {unknown}; there are {some}")
+    return readings.filter(F.col("channel_id").isin(channels))

@@ -49,3 +49,14 @@ def stride(df: DataFrame, target: int, keys: list[str] = SERIES, order: str = "t
     n, i = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / target))
     return df.withColumn("_n", n).withColumn("_i", i).filter(F.col("_i") % step == 0).drop("_n", "_i")
+
+
+def first_of_subtask(tasks: DataFrame, subtask: str, n: int) -> DataFrame:
+    """The first ``n`` tasks of a subtask by id; ids stay those of the whole list."""
+    return tasks.filter(F.col("subtask") == subtask).orderBy("id").limit(n)
+
+
+def pooled(preferred: DataFrame, all_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The preferred rows (pool 0), then all other rows (pool 1)."""
+    rest = all_rows.join(preferred.select(*keys).distinct(), keys, "left_anti")
+    return preferred.select(*all_rows.columns, F.lit(0).alias("pool")).unionByName(rest.select(*all_rows.columns, F.lit(1).alias("pool")))

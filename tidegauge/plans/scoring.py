@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import text
+from tidegauge.functions import answers, text
 
 WEIGHTS = {"trend": 0.4, "interval": 0.3, "adjective": 0.2, "outlier": 0.1}
 TOLERANCE_HOURS = 4
@@ -62,7 +62,7 @@ def aligned(g: Column, p: Column) -> Column:
 def report_parts(df: DataFrame, prediction: str, truth: str) -> DataFrame:
     """``df`` with breakdown: overall, trend, interval, adjective and outlier scores."""
     ps, po = text.parse_report(F.regexp_replace(prediction, "\n", " "))
-    gs, go = text.parse_report(F.regexp_replace(truth, "\n", " "))
+    gs, go = answers.read_report_truth(F.col(truth))
     df = df.withColumns({"_ps": ps, "_gs": gs, "_po": po, "_go": go}).withColumn("_m", aligned(F.col("_gs"), F.col("_ps")))
     hits, total = F.size("_m"), F.size("_gs") + F.size("_ps")
 

@@ -95,6 +95,8 @@ def counts(spark, d) -> DataFrame:
 
 
 add("meta_counts", counts, "SELECT 'tg_readings' AS \"table\", count(*) AS n FROM events WHERE value IS NOT NULL UNION ALL SELECT 'tg_absent', 0")
+builds = lambda s, d: V.table(s, d, "orders").select(F.when(F.col("o_orderstatus") == "O", "created").when(F.col("o_orderstatus") == "F", "skipped").otherwise("error").alias("status"), F.col("o_orderkey").alias("n"))
+add("meta_status_totals", lambda s, d: S.status_totals(builds(s, d)), "SELECT CASE o_orderstatus WHEN 'O' THEN 'created' WHEN 'F' THEN 'skipped' ELSE 'error' END AS status, count(*) AS tasks, CAST(sum(o_orderkey) AS BIGINT) AS n FROM orders GROUP BY ROLLUP (1)")
 
 
 def unbuilt(spark, d) -> DataFrame:
@@ -108,7 +110,7 @@ add("incremental_build", unbuilt, "SELECT 't' || CAST(s_suppkey AS VARCHAR) AS t
 # filters
 RANGE = lambda: (F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-09 12:00:00").cast("timestamp_ntz"))
 RANGE_SQL = "ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'"
-add("proj_channels", lambda s, d: V.events(s, d).filter(F.col(CH).isin("click", "error")).select(CH, TS, "value"), V.sql("ev") + " SELECT channel_id, ts, value FROM ev WHERE channel_id IN ('click', 'error')")
+add("proj_channels", lambda s, d: J.chosen_channels(V.events(s, d), ["click", "error"]).select(CH, TS, "value"), V.sql("ev") + " SELECT channel_id, ts, value FROM ev WHERE channel_id IN ('click', 'error')")
 add("flt_closed_range", lambda s, d: V.events(s, d).filter(F.col(TS).between(*RANGE())).select(CH, TS, "value").orderBy(TS), V.sql("ev") + f" SELECT channel_id, ts, value FROM ev WHERE {RANGE_SQL}")
 add("flt_halfopen_year", lambda s, d: V.daily(s, d).filter((F.col(TS) >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col(TS) < F.lit("1998-01-01").cast("timestamp_ntz"))).select(CH, TS, "value"), V.sql("dy") + " SELECT channel_id, ts, value FROM dy WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-01-01'")
 add("flt_halfopen_month", lambda s, d: V.daily(s, d).filter((F.col(TS) >= F.lit("1997-02-01").cast("timestamp_ntz")) & (F.col(TS) < F.lit("1997-02-01").cast("timestamp_ntz") + F.expr("interval 1 month"))).select(CH, TS, "value"), V.sql("dy") + " SELECT channel_id, ts, value FROM dy WHERE ts >= TIMESTAMP '1997-02-01' AND ts < TIMESTAMP '1997-03-01'")
@@ -139,22 +141,22 @@ add("flt_feature_threshold", lambda s, d: daily_words(s, d).filter((F.round("std
 def fallback(spark, d) -> DataFrame:
     all_ = V.hourly(spark, d).select(CH, F.to_date(TS).alias("day")).distinct()
     hits = all_.filter(F.col(CH).isin("click", "error") & (F.dayofmonth("day") % 9 == 0))
-    return hits.unionByName(all_.join(hits.select(CH).distinct(), CH, "left_anti"))
+    return J.all_if_none(hits, all_, [CH])
 
 
 add("flt_search_fallback", fallback, V.sql("hr") + " SELECT DISTINCT channel_id, CAST(ts AS DATE) AS day FROM hr WHERE channel_id NOT IN ('click', 'error') OR day(ts) % 9 = 0")
 add("flt_sparse_window", lambda s, d: A.window_stats(V.hourly(s, d), "day").select(CH, "window_start"), V.sql("hr") + " SELECT channel_id, date_trunc('day', ts) AS window_start FROM hr GROUP BY 1, 2 HAVING count(*) > 1")
 add("flt_min_samples", lambda s, d: V.hourly(s, d).groupBy(CH, F.to_date(TS).alias("day")).agg(F.count("*").alias("n")).filter("n >= 8"), V.sql("hr") + " SELECT channel_id, CAST(ts AS DATE) AS day, count(*) AS n FROM hr GROUP BY 1, 2 HAVING count(*) >= 8")
-add("flt_subtask_limit", lambda s, d: V.table(s, d, "part").filter("p_brand = 'Brand#2'").orderBy("p_partkey").limit(10).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#2' ORDER BY p_partkey LIMIT 10")
+add("flt_subtask_limit", lambda s, d: K.first_of_subtask(V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("subtask")), "BUILDING", 10), "SELECT c_custkey AS id, c_mktsegment AS subtask FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 10")
 
 
 def focus(spark, d) -> DataFrame:
-    peak = K.arg_extreme(V.hourly(spark, d), "value", True).select(*V.SERIES, F.col(TS).alias("peak"))
-    pad = F.expr("interval 3 days")
-    return V.hourly(spark, d).join(peak, V.SERIES).filter(F.col(TS).between(F.col("peak") - pad, F.col("peak") + pad)).select(CH, TS, F.round("value", 6).alias("value"))
+    """Readings round each series' greatest one, taken as an interval of six hours, or of none."""
+    peak = K.arg_extreme(V.hourly(spark, d), "value", True).select(*V.SERIES, F.col(TS).alias("start"), F.when(F.length(CH) % 2 == 0, F.col(TS) + F.expr("interval 6 hours")).otherwise(F.col(TS)).alias("end"))
+    return J.focused(V.hourly(spark, d), peak).select(CH, TS, F.round("value", 6).alias("value"))
 
 
-add("flt_focus_window", focus, V.sql("hr") + ", pk AS (SELECT channel_id, ts AS peak FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY value DESC, ts) AS r FROM hr) WHERE r = 1) SELECT hr.channel_id, hr.ts, round(hr.value, 6) AS value FROM hr JOIN pk ON hr.channel_id = pk.channel_id WHERE hr.ts BETWEEN peak - INTERVAL 3 DAY AND peak + INTERVAL 3 DAY")
+add("flt_focus_window", focus, V.sql("hr") + ", pk AS (SELECT channel_id, ts AS peak FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY value DESC, ts) AS r FROM hr) WHERE r = 1) SELECT hr.channel_id, hr.ts, round(hr.value, 6) AS value FROM hr JOIN pk ON hr.channel_id = pk.channel_id WHERE hr.ts BETWEEN CASE WHEN length(hr.channel_id) % 2 = 0 THEN peak - INTERVAL 12 HOUR ELSE peak - INTERVAL 3 DAY END AND CASE WHEN length(hr.channel_id) % 2 = 0 THEN peak + INTERVAL 18 HOUR ELSE peak + INTERVAL 3 DAY END")
 
 # joins
 ranges = lambda s, d: V.events(s, d).groupBy(*V.SERIES).agg(F.min(TS).alias("lo")).select(*V.SERIES, (F.col("lo") + F.expr("interval 2 days")).alias("a"), (F.col("lo") + F.expr("interval 5 days")).alias("b"))
@@ -200,7 +202,7 @@ add("top_k_min_gap", lambda s, d: W.position(V.hourly(s, d)).groupBy(CH).agg(F.a
 add("top_best_score", lambda s, d: V.table(s, d, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("best")), "SELECT p_brand, arg_min(p_partkey, p_retailprice * 1e7 + p_partkey) AS best FROM part GROUP BY 1")
 add("downsample_stride", lambda s, d: K.stride(V.events(s, d), 100).select(CH, TS, "value"), V.sql("ev") + " SELECT channel_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY channel_id) AS n FROM ev) WHERE i % greatest(1, n // 100) = 0")
 add("sample_per_group", lambda s, d: K.one_per_group(V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_acctbal"), "c_mktsegment", F.col("c_acctbal") > 9000, 7).select("c_mktsegment", "id"))
-add("set_union_pools", lambda s, d: V.table(s, d, "nation").select("n_name", F.lit(0).alias("pool")).unionByName(V.table(s, d, "region").select(F.col("r_name").alias("n_name"), F.lit(1).alias("pool"))), "SELECT n_name, CAST(0 AS INTEGER) AS pool FROM nation UNION ALL SELECT r_name, 1 FROM region")
+add("set_union_pools", lambda s, d: K.pooled(pools(s, d).filter("in_sax").select(CH, "day", "metric"), pools(s, d).select(CH, "day", "metric"), [CH, "day"]), V.sql("hr") + " SELECT channel_id, CAST(ts AS DATE) AS day, round(max(value), 6) AS metric, CAST(CASE WHEN day(CAST(ts AS DATE)) % 5 = 0 THEN 0 ELSE 1 END AS INTEGER) AS pool FROM hr GROUP BY 1, 2")
 add("set_union_channels", lambda s, d: V.events(s, d).select(CH, TS).unionByName(V.daily(s, d).select(CH, TS)), V.sql("ev", "dy") + " SELECT channel_id, ts FROM ev UNION ALL SELECT channel_id, ts FROM dy")
 days_of = lambda s, d, r: V.events(s, d).filter(r).select(F.to_date(TS).alias("day"))
 add("set_intersection", lambda s, d: days_of(s, d, "channel_id = 'click' and value > 90").intersect(days_of(s, d, "channel_id = 'error' and value > 90")), V.sql("ev") + " SELECT CAST(ts AS DATE) AS day FROM ev WHERE channel_id = 'click' AND value > 90 INTERSECT SELECT CAST(ts AS DATE) FROM ev WHERE channel_id = 'error' AND value > 90")

@@ -14,6 +14,7 @@ from tidegauge.operators import windows as W
 from tidegauge.plans import detect as D
 from tidegauge.plans import features as P
 from tidegauge.plans import insight as I
+from tidegauge.plans import tasks as Q
 from tidegauge.registry.basics import CH, SLOPE_SQL, TS, WORDS, daily_words, probes, ranges, sax_sql
 from tidegauge.registry.series import POS, centred_sql, longest_sql, midline_sql
 
@@ -142,3 +143,33 @@ def slices(s, d):
 
 
 add("q_day_slices", slices, V.sql("hr") + ", b AS (SELECT channel_id, day FROM (SELECT channel_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY channel_id ORDER BY round(max(value), 6) DESC, CAST(ts AS DATE)) AS k FROM hr GROUP BY 1, 2) WHERE k <= 6) SELECT event_type AS channel_id, day, ts, value FROM events JOIN b ON event_type = channel_id AND CAST(ts AS DATE) = day WHERE value IS NOT NULL")
+
+
+def question_table(s, d):
+    """A question of each of four subtasks for each channel; their parameters differ by channel."""
+    series = V.hourly(s, d).groupBy("task_id", CH).agg(F.max(F.to_date(TS)).alias("last"))
+    n = F.length(CH)
+    day = lambda i: T.fmt_timestamp(F.date_sub("last", i).cast("timestamp_ntz"))
+    span = F.concat(F.lit(" between "), day(n + 10), F.lit(" and "), day(n), F.lit("?"))
+    asks = {
+        "Global Aggregation": F.concat(F.lit("What is the "), F.element_at(F.array(*map(F.lit, ["minimum", "maximum", "average"])), n % 3 + 1), F.lit(" value"), span),
+        "Temporal Localization": F.concat(F.lit("When is the "), F.when(n % 2 == 0, "highest").otherwise("lowest"), F.lit(" value"), span),
+        "Interval Discovery": F.concat(F.lit("Where does it stay longest "), F.when(n % 2 == 0, "above ").otherwise("below "), (n * 10).cast("string"), span),
+        "Sliding Window": F.concat(F.lit("Which "), (n % 3 + 1).cast("string"), F.lit("-day window has the "), F.when(n % 2 == 0, "highest").otherwise("lowest"), F.lit(" mean"), span),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("subtask"), q.alias("question")) for name, q in asks.items())))
+    return series.select("task_id", F.col(CH).alias("channel"), each.alias("q")).select(F.concat_ws("/", "channel", "q.subtask").alias("id"), "task_id", "channel", "q.subtask", "q.question")
+
+
+ASKED = V.sql("hr") + ", ls AS (SELECT channel_id, length(channel_id) AS n, CAST(max(CAST(ts AS DATE)) AS TIMESTAMP) AS l FROM hr GROUP BY 1), rs AS (SELECT hr.*, n FROM hr JOIN ls USING (channel_id) WHERE ts BETWEEN l - (n + 10) * INTERVAL 1 DAY AND l - n * INTERVAL 1 DAY), ps AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts) - 1 AS pos FROM rs), " + longest_sql("ps", "CASE WHEN n % 2 = 0 THEN value > n * 10 ELSE value < n * 10 END") + """,
+sp AS (SELECT channel_id, median(gap) AS step FROM (SELECT channel_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY channel_id ORDER BY ts)) / 1e6 AS gap FROM rs) GROUP BY 1),
+wd AS (SELECT ps.*, CAST(greatest(1, round_even(86400.0 * (n % 3 + 1) / step, 0)) AS BIGINT) AS k FROM ps JOIN sp USING (channel_id)),
+sl AS (SELECT a.channel_id, a.n, min(b.ts) AS s, a.ts AS e, round(avg(b.value), 6) AS score FROM wd a JOIN wd b ON a.channel_id = b.channel_id AND b.pos BETWEEN a.pos - a.k + 1 AND a.pos WHERE a.pos >= a.k - 1 GROUP BY a.channel_id, a.n, a.ts),
+sb AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY CASE WHEN n % 2 = 0 THEN -score ELSE score END, e) AS r FROM sl),
+tl AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY CASE WHEN n % 2 = 0 THEN -value ELSE value END, ts) AS r FROM rs),
+an AS (SELECT channel_id || '/Global Aggregation' AS id, regexp_replace(regexp_replace(printf('%.6f', CASE any_value(n) % 3 WHEN 0 THEN min(value) WHEN 1 THEN max(value) ELSE avg(value) END), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS p FROM rs GROUP BY channel_id
+UNION ALL SELECT channel_id || '/Temporal Localization', strftime(ts, '%Y-%m-%d %H:%M:%S') FROM tl WHERE r = 1
+UNION ALL SELECT channel_id || '/Interval Discovery', '[' || strftime(s, '%Y-%m-%d %H:%M:%S') || ', ' || strftime(e, '%Y-%m-%d %H:%M:%S') || ']' FROM lr
+UNION ALL SELECT channel_id || '/Sliding Window', '[' || strftime(s, '%Y-%m-%d %H:%M:%S') || ', ' || strftime(e, '%Y-%m-%d %H:%M:%S') || ']' FROM sb WHERE r = 1)
+SELECT channel_id || '/' || name AS id, coalesce(p, '') AS prediction FROM ls JOIN (VALUES ('Global Aggregation'), ('Temporal Localization'), ('Interval Discovery'), ('Sliding Window')) v(name) ON true LEFT JOIN an ON an.id = channel_id || '/' || name"""
+add("answer_tasks", lambda s, d: Q.answer(question_table(s, d), V.hourly(s, d)), ASKED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge import views as V
+from tidegauge.functions import answers as A2
 from tidegauge.functions import sax
 from tidegauge.functions import text as T
 from tidegauge.operators import aggregates as A
@@ -75,7 +76,14 @@ orders = lambda s, d: V.table(s, d, "orders")
 STAMP = "strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
 stamp = lambda: T.fmt_timestamp(F.col("o_orderdate"))
 B = sax.breakpoints()
-add("fn_sax_breakpoints", lambda s, d: V.table(s, d, "region").select("r_regionkey", *(F.lit(round(b, 12)).alias(f"b{i}") for i, b in enumerate(B))), "SELECT r_regionkey, CAST(-0.841621233573 AS DOUBLE) AS b0, CAST(-0.253347103136 AS DOUBLE) AS b1, CAST(0.253347103136 AS DOUBLE) AS b2, CAST(0.841621233573 AS DOUBLE) AS b3 FROM region")
+def below(s, d):
+    """How many standard scores of each channel lie at or under each breakpoint."""
+    w = W.Window.partitionBy(CH)
+    z = V.hourly(s, d).withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.stddev_pop("value").over(w))
+    return z.groupBy(CH).agg(*(F.count_if(F.col("z") <= b).alias(f"b{i}") for i, b in enumerate(B)))
+
+
+add("fn_sax_breakpoints", below, V.sql("hr") + ", z AS (SELECT channel_id, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM hr WINDOW w AS (PARTITION BY channel_id)) SELECT channel_id, count(*) FILTER (z <= -0.8416212335729143) AS b0, count(*) FILTER (z <= -0.2533471031357997) AS b1, count(*) FILTER (z <= 0.2533471031357997) AS b2, count(*) FILTER (z <= 0.8416212335729143) AS b3 FROM z GROUP BY 1")
 add("fn_sax_letter", lambda s, d: V.hourly(s, d).withColumn("m", F.avg("value").over(W.Window.partitionBy(CH))).withColumn("p", F.stddev_pop("value").over(W.Window.partitionBy(CH))).select(CH, TS, sax.letter(F.col("value"), F.col("m"), F.col("p")).alias("letter")), V.sql("hr") + ", z AS (SELECT channel_id, ts, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM hr WINDOW w AS (PARTITION BY channel_id)) SELECT channel_id, ts, CASE WHEN z > 0.8416212335729143 THEN 'e' WHEN z > 0.2533471031357997 THEN 'd' WHEN z > -0.2533471031357997 THEN 'c' WHEN z > -0.8416212335729143 THEN 'b' ELSE 'a' END AS letter FROM z")
 kinds = lambda: F.when(F.col("p_size") % 3 == 0, F.array(F.lit("rise"), F.lit("fall"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("stable"))).otherwise(F.array(F.lit("fall"), F.lit("stable"), F.lit("rise")))
 add("fn_kind_regex", lambda s, d: part(s, d).select("p_partkey", sax.kind_pattern(kinds()).alias("pattern")), r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '[ab]+.*[de]+.*[de]+.*[ab]+' WHEN 1 THEN '(.)\1{3,}' ELSE '[de]+.*[ab]+.*(.)\1{3,}.*[ab]+.*[de]+' END AS pattern FROM part")
@@ -103,17 +111,33 @@ add("fn_parse_date_set", lambda s, d: orders(s, d).select("o_orderkey", F.array_
 seg = lambda: F.array(F.struct(F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 36 hours")).alias("end"), F.lit("rapid").alias("adj"), F.lit("rise").alias("kind")))
 spikes = lambda: F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("value"))))
 REPORT = f"""'1. Trend Segmentation: from ' || {STAMP} || ' to ' || strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') || ', the trend showed a rapid rise.' || chr(10) || '2. Outlier Audit: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'A significant spike was detected at ' || {STAMP} || ' (value: ' || printf('%.2f', o_totalprice) || ').' ELSE 'None.' END"""
-add("fn_fmt_report", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_report(seg(), spikes()).alias("report")), f"SELECT o_orderkey, {REPORT} AS report FROM orders")
+aliased = lambda: F.to_json(F.struct(F.array(F.struct(spans()[0].alias("start"), spans()[1].alias("end"), F.lit("Rapid").alias("adjective"), F.lit("rise").alias("type"))).alias("segments"), F.when(key(2) == 0, F.array(F.struct(spans()[0].alias("at"), F.col("o_totalprice").alias("value")))).alias("anomalies")))
+add("fn_fmt_report", lambda s, d: orders(s, d).select("o_orderkey", F.when(key(3) == 0, A2.report_text(aliased())).otherwise(T.fmt_report(seg(), spikes())).alias("report")), f"SELECT o_orderkey, {REPORT} AS report FROM orders")
 parsed = lambda: T.parse_report(F.col("r"))
 add("fn_parse_report", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_report(seg(), spikes()).alias("r")).select("o_orderkey", parsed()[0][0]["start"].alias("start"), parsed()[0][0]["end"].alias("end"), parsed()[0][0]["kind"].alias("kind"), F.get(parsed()[1], F.lit(0)).alias("outlier")), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS start, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR AS \"end\", 'rise' AS kind, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS outlier FROM orders")
-add("fn_parse_viz", lambda s, d: orders(s, d).select("o_orderkey", T.parse_timestamp(F.get(T.all_matches(F.concat(F.lit("seen "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or so")), T.DATE), F.lit(0))).alias("t")), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders")
-add("fn_fmt_scalar", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_scalar(F.col("o_totalprice") / 4).alias("x")), "SELECT o_orderkey, regexp_replace(regexp_replace(printf('%.6f', o_totalprice / 4), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS x FROM orders")
+key = lambda n: F.col("o_orderkey") % n
+SHOWN = "strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d')"
+read_metric = lambda: F.element_at(F.array(*map(F.lit, ["rel_acc", "hit", "iou", "set_f1"])), key(4).cast("int") + 1)
+# a number after a number, a time inside words, an interval that ends on a date, dates
+said = lambda: F.when(key(4) == 0, F.concat(F.lit("3 of "), F.col("o_custkey").cast("string"))).when(key(4) == 1, F.concat(F.lit("at "), stamp(), F.lit(" or so"))).when(key(4) == 2, F.concat(F.lit("["), stamp(), F.lit(", "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("]"))).otherwise(T.fmt_date_set(dates()))
+add("fn_parse_viz", lambda s, d: orders(s, d).select("o_orderkey", A2.read_prediction(read_metric(), said()).alias("r")).select("o_orderkey", "r.number", "r.time", "r.start", "r.end", F.array_join("r.dates", "|").alias("dates")), f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS DOUBLE) END AS number, CASE WHEN o_orderkey % 4 = 1 THEN {STAMP} END AS time, CASE WHEN o_orderkey % 4 = 2 THEN {STAMP} END AS start, CASE WHEN o_orderkey % 4 = 2 THEN {SHOWN} END AS \"end\", CASE WHEN o_orderkey % 4 = 3 THEN {SHOWN} || '|2001-01-01|' || {SHOWN} END AS dates FROM orders")
+quarter = lambda: (F.col("o_totalprice") / 4).cast("string")
+boxed = lambda: F.when(key(4) == 0, quarter()).when(key(4) == 1, F.concat(F.lit("["), quarter(), F.lit("]"))).when(key(4) == 2, F.when(key(8) == 2, "true").otherwise("false")).otherwise(F.col("o_custkey").cast("string"))
+add("fn_fmt_scalar", lambda s, d: orders(s, d).select("o_orderkey", A2.scalar_text(boxed()).alias("x")), "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN regexp_replace(regexp_replace(printf('%.6f', o_totalprice / 4), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') WHEN o_orderkey % 4 = 3 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 8 = 2 THEN '1' ELSE '0' END AS x FROM orders")
 add("fn_fmt_timestamp", lambda s, d: orders(s, d).select("o_orderkey", stamp().alias("t")), f"SELECT o_orderkey, {STAMP} AS t FROM orders")
-add("fn_fmt_interval", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 36 hours")).alias("i")), f"SELECT o_orderkey, '[' || {STAMP} || ', ' || strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') || ']' AS i FROM orders")
+iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+spans = lambda: (iso("o_orderdate"), iso(F.col("o_orderdate") + F.expr("interval 36 hours")))
+named = lambda a, b: F.to_json(F.struct(spans()[0].alias(a), spans()[1].alias(b)))
+add("fn_fmt_interval", lambda s, d: orders(s, d).select("o_orderkey", F.when(key(4) == 0, A2.interval_text(F.to_json(F.array(*spans())))).when(key(4) == 1, A2.interval_text(named("begin", "stop"))).when(key(4) == 2, A2.interval_text(named("from", "to"))).otherwise(T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 36 hours"))).alias("i")), f"SELECT o_orderkey, '[' || {STAMP} || ', ' || strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') || ']' AS i FROM orders")
 add("fn_fmt_date_set", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_date_set(F.when(F.col("o_orderkey") % 2 == 0, F.slice(dates(), 1, 2))).alias("t")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '[''' || strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') || ''', ''2001-01-01'']' ELSE '[]' END AS t FROM orders")
 metric = lambda: F.element_at(F.array(*map(F.lit, ["rel_acc", "hit", "iou", "none"])), F.col("o_orderkey").cast("int") % 4 + 1)
 add("fn_fmt_dispatch", lambda s, d: orders(s, d).select("o_orderkey", T.fmt_answer(metric(), F.lit(2.5), F.col("o_orderdate"), F.col("o_orderdate"), F.col("o_orderdate"), F.array().cast("array<string>"), F.lit("r")).alias("t")), f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2.5' WHEN 1 THEN {STAMP} WHEN 2 THEN '[' || {STAMP} || ', ' || {STAMP} || ']' ELSE '' END AS t FROM orders")
-add("fn_validate_result", lambda s, d: orders(s, d).select("o_orderkey", T.result_status(metric(), F.when(F.col("o_orderkey") % 8 == 0, "12.5").when(F.col("o_orderkey") % 8 == 1, stamp()).when(F.col("o_orderkey") % 8 == 2, T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate"))).otherwise("?")).alias("status")), "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1, 2) THEN 'ok' ELSE 'shape_mismatch' END AS status FROM orders")
+# an answer in the shape of each metric; the upper half of the keys gets that of the next metric
+five = lambda: F.element_at(F.array(*map(F.lit, A2.SHAPES)), key(5).cast("int") + 1)
+quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+forms = lambda: F.array(quarter(), quoted(stamp()), F.to_json(F.array(*spans())), F.to_json(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.date_format(F.date_add("o_orderdate", i), "yyyy-MM-dd"))), F.to_json(F.struct(F.array().alias("trend_segments"))))
+given = lambda: F.get(forms(), ((key(5) + F.when(key(2) == 0, 0).otherwise(1)) % 5).cast("int"))
+add("fn_validate_result", lambda s, d: orders(s, d).select("o_orderkey", A2.shape_problem(A2.shape_of(five()), given()).alias("problem"), T.result_status(metric(), F.when(key(8) == 0, "12.5").when(key(8) == 1, stamp()).when(key(8) == 2, T.fmt_interval(F.col("o_orderdate"), F.col("o_orderdate"))).otherwise("?")).alias("status")).select("o_orderkey", "status", F.regexp_replace("problem", ":.*$", "").alias("problem")), "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1, 2) THEN 'ok' ELSE 'shape_mismatch' END AS status, CASE WHEN o_orderkey % 5 = 3 AND o_orderkey % 2 = 0 THEN 'more dates than 50' WHEN o_orderkey % 2 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'a number is needed, not text' WHEN o_orderkey % 5 = 1 THEN 'a time is needed, not list' WHEN o_orderkey % 5 = 2 THEN 'a list of two times is needed, not list' WHEN o_orderkey % 5 = 3 THEN 'a list of dates is needed, not object' ELSE 'a report with trend_segments, or a text, is needed, not number' END AS problem FROM orders")
 add("fn_window_end", lambda s, d: daily_words(s, d).select(CH, "window_start", "window_end"), WORDS + " SELECT channel_id, window_start, window_start + INTERVAL 1 DAY AS window_end FROM ft")
 add("fn_calendar_floor", lambda s, d: V.events(s, d).select(CH, TS, *(F.date_trunc(u, TS).cast("timestamp_ntz").alias(u) for u in ("year", "month", "day", "hour"))), V.sql("ev") + " SELECT channel_id, ts, CAST(date_trunc('year', ts) AS TIMESTAMP) AS year, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour FROM ev")
 add("fn_samples_per", lambda s, d: A.median_step(V.daily(s, d)).select(CH, A.samples_per(86400 * 2.5, F.col("step"), 2).alias("n")), V.sql("dy") + " SELECT DISTINCT channel_id, CAST(2 AS INTEGER) AS n FROM dy")

@@ -94,3 +94,8 @@ def row_counts(spark: SparkSession, names: list[str]) -> DataFrame:
         one = spark.table(name) if spark.catalog.tableExists(name) else spark.range(0)
         out = out.union(one.agg(F.lit(name).alias("table"), F.count("*").alias("n")))
     return out
+
+
+def status_totals(builds: DataFrame) -> DataFrame:
+    """(status, tasks, n): tasks and rows of each status, and of all together (status null)."""
+    return builds.rollup("status").agg(F.count("*").alias("tasks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
