@@ -52,12 +52,13 @@ def sliding_window(readings: DataFrame, n: int, metric: str, high: bool) -> Data
     return topk.arg_extreme(scored, "score", high).select(*SERIES, "start", F.col("ts").alias("end"), "score")
 
 
-def widest(readings: DataFrame) -> DataFrame:
+def widest(readings: DataFrame, ranges: bool = True) -> DataFrame:
     """As ``sliding_window`` for series that each have an own ``n``, ``spread`` (mean, range, var or std) and
     ``high``.
 
     Windows of any width are differences of prefix sums of the values less the series' mean; a range is
     that of the two stretches of a power of two that cover the window. Both ends meet by an equi-join.
+    Without ``ranges`` no ``spread`` may be range.
     """
     w = windows.along(order="pos")
     whole = Window.partitionBy(*SERIES)
@@ -65,31 +66,36 @@ def widest(readings: DataFrame) -> DataFrame:
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     placed = windows.position(readings).withColumn("middle", F.avg("value").over(whole))
     sums = placed.withColumns({"s1": F.sum(y).over(upto), "s2": F.sum(y * y).over(upto)})
-    # the number of levels is the logarithm of the widest range asked for
-    ranged = readings.filter("spread = 'range'").agg(F.max("n")).head()[0] or 1
-    sums = sums.withColumns({"top0": F.col("value"), "low0": F.col("value")})
-    levels = ranged.bit_length() - 1
-    for j in range(levels):  # topj: the greatest of 2 ** j rows up to this one
-        sums = sums.withColumns({
-            f"top{j + 1}": F.greatest(f"top{j}", F.lag(f"top{j}", 1 << j).over(w)),
-            f"low{j + 1}": F.least(f"low{j}", F.lag(f"low{j}", 1 << j).over(w)),
-        })
-    level = F.floor(F.log2("n") + 1e-12).cast("int")
-    pick = lambda name: F.get(F.array(*(F.col(f"{name}{j}") for j in range(levels + 1))), F.least(level, F.lit(levels)))
-    ends = sums.filter(F.col("pos") >= F.col("n") - 1).withColumns({"top": pick("top"), "low": pick("low"), "before": F.col("pos") - F.col("n"), "half": F.col("pos") - F.col("n") + F.pow(F.lit(2), level).cast("int"), "first": F.col("pos") - F.col("n") + 1})
     old = sums.select(*SERIES, F.col("pos").alias("before"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
     start = sums.select(*SERIES, F.col("pos").alias("first"), F.col("ts").alias("start"))
-    left = sums.withColumns({"top_left": pick("top"), "low_left": pick("low")}).select(*SERIES, F.col("pos").alias("half"), "top_left", "low_left")
+    ends = sums.filter(F.col("pos") >= F.col("n") - 1).withColumns({"before": F.col("pos") - F.col("n"), "first": F.col("pos") - F.col("n") + 1})
     both = ends.join(old, [*SERIES, "before"], "left").join(start, [*SERIES, "first"])
-    both = both.join(left, [*SERIES, "half"], "left")
+    both = both.join(_reaches(placed), [*SERIES, "pos"], "left") if ranges else both.withColumn("reach", F.lit(None).cast("double"))
     m1, m2, n = F.col("s1") - F.coalesce("p1", F.lit(0.0)), F.col("s2") - F.coalesce("p2", F.lit(0.0)), F.col("n")
     var = F.when(n > 1, F.greatest(F.lit(0.0), m2 - m1 * m1 / n) / (n - 1))
-    reach = F.greatest("top", "top_left") - F.least("low", "low_left")
-    score = F.when(F.col("spread") == "range", reach).when(F.col("spread") == "var", var).when(F.col("spread") == "std", F.sqrt(var)).otherwise(m1 / n + F.col("middle"))
+    score = F.when(F.col("spread") == "range", F.col("reach")).when(F.col("spread") == "var", var).when(F.col("spread") == "std", F.sqrt(var)).otherwise(m1 / n + F.col("middle"))
     scored = both.withColumn("score", F.round(score, 6)).withColumn("size", F.when(F.col("high"), F.col("score")).otherwise(-F.col("score")))
     return topk.arg_extreme(scored, "size", True).select(*SERIES, "start", F.col("ts").alias("end"), "score")
 
 
+def _reaches(placed: DataFrame) -> DataFrame:
+    """(series, pos, reach): greatest less least of the last ``n`` rows, of series whose ``spread`` is range."""
+    w = windows.along(order="pos")
+    own = placed.filter("spread = 'range'").select(*SERIES, "pos", "n", F.col("value").alias("top0"), F.col("value").alias("low0"))
+    # as many levels as the logarithm of the widest window
+    levels = (own.agg(F.max("n")).head()[0] or 1).bit_length()
+    for j in range(levels - 1):  # topj: the greatest of 2 ** j rows up to this one
+        own = own.withColumns({
+            f"top{j + 1}": F.greatest(f"top{j}", F.lag(f"top{j}", 1 << j).over(w)),
+            f"low{j + 1}": F.least(f"low{j}", F.lag(f"low{j}", 1 << j).over(w)),
+        })
+    level = F.floor(F.log2("n") + 1e-12).cast("int")
+    pick = lambda name: F.get(F.array(*(F.col(f"{name}{j}") for j in range(levels))), level)
+    own = own.select(*SERIES, "pos", (F.col("pos") - F.col("n") + F.pow(F.lit(2), level).cast("int")).alias("half"), pick("top").alias("top"), pick("low").alias("low"))
+    left = own.select(*SERIES, F.col("pos").alias("half"), F.col("top").alias("top_left"), F.col("low").alias("low_left"))
+    return own.join(left, [*SERIES, "half"]).select(*SERIES, "pos", (F.greatest("top", "top_left") - F.least("low", "low_left")).alias("reach"))
+
+
 def plateau(readings: DataFrame, depressed: bool = False, width: int = 4) -> DataFrame:
     """The longest flat stretch; only at or below the 30th percentile if ``depressed``."""
     rolled = windows.centred(windows.position(readings), "rolled", F.stddev_samp, "value", width)

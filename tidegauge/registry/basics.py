@@ -188,7 +188,7 @@ add("agg_median_step", lambda s, d: A.median_step(V.events(s, d)).select(CH, F.r
 add("agg_quantile", lambda s, d: V.events(s, d).groupBy(CH).agg(*(F.round(F.percentile("value", q), 8).alias(n) for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8)))), V.sql("ev") + " SELECT channel_id, " + ", ".join(f"round(quantile_cont(value, {q}), 8) AS {n}" for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8))) + " FROM ev GROUP BY 1")
 add("agg_std_pop", lambda s, d: V.events(s, d).groupBy(CH).agg(F.round(F.stddev_pop("value"), 8).alias("std")), V.sql("ev") + " SELECT channel_id, round(stddev_pop(value), 8) AS std FROM ev GROUP BY 1")
 add("agg_ols", lambda s, d: A.ols(J.causal_pairs(V.pair(s, d)), "down", "up", [CH]).select(CH, F.round("b", 8).alias("b"), F.round("a", 3).alias("a")), V.sql("pr") + " SELECT 'orders' AS channel_id, round(regr_slope(down, up), 8) AS b, round(regr_intercept(down, up), 3) AS a FROM pr")
-add("agg_acf", ENTRIES["join_lag_self"][0], ENTRIES["join_lag_self"][1])
+add("agg_acf", lambda s, d: A.autocorrelation(V.hourly(s, d), F.array(*map(F.lit, (1, 6, 12, 24)))).select(CH, "lag", F.round("acf", 8).alias("acf")), V.sql("hr") + ", c AS (SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i, value - avg(value) OVER (PARTITION BY channel_id) AS y FROM hr), p AS (SELECT channel_id, sum(y * y) AS s FROM c GROUP BY 1) SELECT a.channel_id, CAST(l.lag AS INTEGER) AS lag, round(sum(a.y * b.y) / any_value(p.s), 8) AS acf FROM c a JOIN (VALUES (1), (6), (12), (24)) l(lag) ON true JOIN c b ON a.channel_id = b.channel_id AND b.i = a.i + l.lag JOIN p ON a.channel_id = p.channel_id GROUP BY 1, 2")
 add("agg_dft", lambda s, d: A.spectrum(V.daily(s, d), F.sequence(F.lit(3), F.lit(9))).select(CH, "k", F.round("magnitude", 1).alias("magnitude")), V.sql("dy") + ", c AS (SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY channel_id) AS n, value - avg(value) OVER (PARTITION BY channel_id) AS y FROM dy) SELECT channel_id, CAST(k.range AS INTEGER) AS k, round(sqrt(power(sum(y * cos(2 * pi() * k.range * i / n)), 2) + power(sum(y * sin(2 * pi() * k.range * i / n)), 2)), 1) AS magnitude FROM c JOIN range(3, 10) k ON true GROUP BY 1, 2")
 add("agg_segment_sse", lambda s, d: A.segment_sse(W.prefix_sums(V.hourly(s, d)), 10, 40).select(CH, F.round("sse", 4).alias("sse")), V.sql("hr") + ", c AS (SELECT channel_id, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts) - 1 AS i FROM hr) SELECT channel_id, round(regr_syy(value, i) - power(regr_sxy(value, i), 2) / regr_sxx(value, i), 4) AS sse FROM c WHERE i BETWEEN 10 AND 40 GROUP BY 1")
 add("agg_status", lambda s, d: V.table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")), "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")

@@ -34,7 +34,10 @@ add("q_interval_discovery", lambda s, d: D.interval_discovery(V.hourly(s, d), "<
 
 
 def sliding(s, d):
-    return D.by_step(V.daily(s, d), lambda r, step: D.sliding_window(r, max(1, round(30 * 86400 / step)), "mean", True)).select(CH, "start", "end", "score")
+    """Each series by its own number of samples in 30 days."""
+    n = A.median_step(V.daily(s, d)).filter("step > 0").select(*V.SERIES, A.samples_per(30 * 86400, F.col("step")).alias("n"))
+    asked = V.daily(s, d).join(n, V.SERIES).withColumns({"spread": F.lit("mean"), "high": F.lit(True)})
+    return D.widest(asked, ranges=False).select(CH, "start", "end", "score")
 
 
 SLIDE = V.sql("dy") + ", x AS (SELECT channel_id, ts, CASE WHEN count(*) OVER w = 30 THEN round(avg(value) OVER w, 6) END AS score, first_value(ts) OVER w AS start FROM dy WINDOW w AS (PARTITION BY channel_id ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), y AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY score DESC, ts) AS r FROM x WHERE score IS NOT NULL) "
