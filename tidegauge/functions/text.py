@@ -53,6 +53,7 @@ def parse_date_set(text: Column) -> Column:
 
 def parse_report(text: Column) -> tuple[Column, Column]:
     """Trend segments (start, end, adj, kind) and outlier times of a report."""
+    # Fixed value: the sentence of a trend segment.
     pattern = rf"(?i)from\s+({TIMESTAMP})\s+to\s+({TIMESTAMP})\s*,?\s*the\s+trend\s+showed\s+a\s+([a-zA-Z]+)\s+([a-zA-Z]+)"
     part = lambda i: all_matches(text, pattern, i)
     zipped = F.arrays_zip(part(1).alias("start"), part(2).alias("end"), part(3).alias("adj"), part(4).alias("kind"))
