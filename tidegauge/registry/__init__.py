@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.registry import basics, questions, scores, series
+from tidegauge.registry import basics, questions, scores, series, stores
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def entries() -> dict[str, Entry]:
-    return basics.ENTRIES | series.ENTRIES | questions.ENTRIES | scores.ENTRIES
+    return basics.ENTRIES | series.ENTRIES | questions.ENTRIES | scores.ENTRIES | stores.ENTRIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

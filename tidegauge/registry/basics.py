@@ -13,6 +13,7 @@ from tidegauge.operators import topk as K
 from tidegauge.operators import windows as W
 from tidegauge.plans import features as P
 from tidegauge.sources import files as S
+from tidegauge.sources import store as B
 
 CH, TS = "channel_id", "ts"
 ENTRIES: dict = {}
@@ -79,9 +80,9 @@ add("src_jsonl_checkpoint", checkpoint, "SELECT CAST(c_custkey % 50 AS BIGINT) A
 
 def stored_features(spark, d) -> DataFrame:
     at = V.scratch(spark, "features")
-    S.write_features(P.scale(V.hourly(spark, d), "monthly"), at)
-    S.write_features(P.scale(V.hourly(spark, d), "daily"), at)
-    return spark.read.parquet(at)
+    B.add_features(P.scale(V.hourly(spark, d), "monthly"), at)
+    B.add_features(P.scale(V.hourly(spark, d), "daily"), at)
+    return B.read_features(spark, at)
 
 
 add("sink_features", lambda s, d: stored_features(s, d).groupBy("granularity", CH).agg(F.count("*").alias("n"), F.round(F.sum("max_val"), 6).alias("top")), V.sql("hr") + " SELECT 'daily' AS granularity, channel_id, count(*) AS n, round(sum(m), 6) AS top FROM (SELECT channel_id, date_trunc('day', ts) AS w, max(value) AS m FROM hr GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 2 UNION ALL SELECT 'monthly', channel_id, count(*), round(sum(m), 6) FROM (SELECT channel_id, date_trunc('month', ts) AS w, max(value) AS m FROM hr GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 2")

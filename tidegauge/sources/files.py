@@ -10,7 +10,16 @@ TASK = "id string, level int, category string, subtask string, question string,
 
 
 def csv_readings(spark: SparkSession, path: str) -> DataFrame:
-    """Wide readings of CSV files with one header: all strings, task_id from the file's name."""
+    """Wide readings of CSV files with one header: all strings, task_id from the file's name.
+
+    Raises if the files have different headers, as cells are read by position; ``csv.csv_long`` reads each
+    file by its own.
+    """
+    from tidegauge.sources.csv import csv_headers
+
+    headers = [r.header for r in csv_headers(spark, path).select("header").filter("header is not null").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"{path}: files have different headers, such as {headers[0]!r} and {headers[1]!r}; csv_long reads them")
     df = spark.read.csv(path, header=True, inferSchema=False)
     if "timestamp" not in df.columns or len(df.columns) < 2:
         raise ValueError(f"{path}: a timestamp column and at least one channel are needed")
@@ -71,13 +80,6 @@ def latest(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("id", F.col("id").try_cast("bigint")).filter("id is not null").groupBy("id").agg(F.max_by(F.coalesce("prediction", F.lit("")), order).alias("prediction"))
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """Replace the granularities that ``features`` holds."""
-    if sorted(features.columns) != sorted(FEATURES):
-        raise ValueError(f"features need the columns {FEATURES}")
-    features.select(FEATURES).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("granularity").parquet(path)
-
-
 def dense_predictions(predictions: DataFrame, n: int) -> DataFrame:
     """One row for each id from 0 to n - 1; an empty text where there is none."""
     return predictions.sparkSession.range(n).join(predictions, "id", "left").select("id", F.coalesce("prediction", F.lit("")).alias("prediction"))
