@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators.windows import along, position
+from tidegauge.operators.transforms import autocorrelation, spectrum  # noqa: F401
+from tidegauge.operators.windows import along
 from tidegauge.views import SERIES
 
+
 def stats() -> dict[str, Column]:
     return {"min": F.min("value"), "max": F.max("value"), "avg": F.avg("value"), "sum": F.sum("value"), "count": F.count("value").cast("double"), "std": F.stddev_samp("value")}
 
@@ -59,27 +59,6 @@ def ols(df: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(b.alias("b"), (F.avg(y) - b * F.avg(x)).alias("a"))
 
 
-def autocorrelation(df: DataFrame, lags: Column, keys: list[str] = SERIES) -> DataFrame:
-    """(keys, lag, acf) for each of ``lags`` (an array), of the series less its mean.
-
-    Places i and i + lag meet in an equi-join, so the work is rows times lags: ask for few lags.
-    """
-    centred = position(df).withColumn("y", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
-    power = centred.groupBy(*keys).agg(F.sum(F.col("y") * F.col("y")).alias("power"))
-    left = centred.select(*keys, "pos", "y", F.explode(lags).alias("lag")).withColumn("to", F.col("pos") + F.col("lag"))
-    right = centred.select(*keys, F.col("pos").alias("to"), F.col("y").alias("y2"))
-    return left.join(right, [*keys, "to"]).groupBy(*keys, "lag").agg(F.sum(F.col("y") * F.col("y2")).alias("s")).join(power, keys).select(*keys, "lag", F.when(F.col("power") > 1e-12, F.col("s") / F.col("power")).alias("acf"))
-
-
-def spectrum(df: DataFrame, bins: Column, keys: list[str] = SERIES) -> DataFrame:
-    """(keys, k, magnitude, n) of the Fourier sum at each of ``bins`` (an array)."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    y = position(df).withColumn("n", n).withColumn("y", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
-    each = y.withColumn("k", F.explode(bins))
-    angle = F.lit(2 * math.pi) * F.col("k") * F.col("pos") / F.col("n")
-    return each.groupBy(*keys, "k").agg(F.hypot(F.sum(F.col("y") * F.cos(angle)), F.sum(F.col("y") * F.sin(angle))).alias("magnitude"), F.first("n").alias("n"))
-
-
 def segment_sse(sums: DataFrame, a: int, b: int, keys: list[str] = SERIES) -> DataFrame:
     """Squared error of the best line over rows a ... b, from prefix sums."""
     ends = sums.filter(F.col("pos").isin(a - 1, b)).groupBy(*keys).agg(*(F.sum(F.when(F.col("pos") == b, F.col(c)).otherwise(-F.col(c))).alias(c) for c in ("sum_y", "sum_yy", "sum_iy")))

@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import sax
-from tidegauge.operators import aggregates, topk, windows
+from tidegauge.operators import aggregates, topk, transforms, windows
 from tidegauge.views import SERIES
 
 
@@ -138,9 +136,8 @@ def periodicity(readings: DataFrame, first_lags: int = 64) -> DataFrame:
     n = readings.groupBy(*SERIES).agg(F.count("*").alias("n"))
 
     def peaks(some: DataFrame, most) -> DataFrame:
-        counted = some.join(n, SERIES)
-        lags = F.sequence(F.lit(1), most)
-        acf = aggregates.autocorrelation(counted, lags)
+        # rounded, so that equal neighbours aren't told apart by the transform's last digits
+        acf = aggregates.autocorrelation(some, F.sequence(F.lit(1), most)).withColumn("acf", F.round("acf", 12))
         w = Window.partitionBy(*SERIES).orderBy("lag")
         near = acf.withColumn("a", F.lag("acf").over(w)).withColumn("b", F.lead("acf").over(w))
         good = (F.col("lag") >= 2) & (F.col("acf") > F.col("a")) & (F.col("acf") > F.col("b")) & (F.col("acf") > 0.1)
@@ -150,7 +147,7 @@ def periodicity(readings: DataFrame, first_lags: int = 64) -> DataFrame:
     early = peaks(readings, F.least(F.lit(first_lags), half))
     late = peaks(readings.join(early, SERIES, "left_anti"), half)
     found = early.unionByName(late)
-    double = aggregates.autocorrelation(readings.join(found, SERIES), F.array(F.col("lag") * 2)).select(*SERIES, F.col("acf").alias("twice"))
+    double = aggregates.autocorrelation(readings, F.array(F.col("lag") * 2), more=found).select(*SERIES, F.col("acf").alias("twice"))
     peaked = found.join(double, SERIES, "left").select(*SERIES, F.when(F.col("twice") < -0.1, F.col("lag") * 2).otherwise(F.col("lag")).cast("long").alias("period"))
     rest = readings.join(found, SERIES, "left_anti").join(n.filter("n >= 9"), SERIES)
     spectrum = aggregates.spectrum(rest, F.sequence(F.lit(3), F.floor(F.col("n") / 3).cast("int")))
@@ -159,48 +156,13 @@ def periodicity(readings: DataFrame, first_lags: int = 64) -> DataFrame:
 
 
 def subsequence(query: DataFrame, readings: DataFrame, top: int = 1) -> DataFrame:
-    """start, end and distance of the ``top`` stretches of each series nearest its query (task_id,
-    channel_id, offset, q), both z-normalised: the query by population, the stretch by sample std.
-
-    Each position meets each offset of the query by an equi-join on the series.
-    """
-    wq = Window.partitionBy(*SERIES)
-    z = query.withColumn("z", (F.col("q") - F.avg("q").over(wq)) / F.when(F.stddev_pop("q").over(wq) >= 1e-9, F.stddev_pop("q").over(wq))).withColumn("len", F.count("*").over(wq)).select(*SERIES, "offset", "z", "len")
-    pos = windows.position(readings)
-    parts = pos.join(z, SERIES).withColumn("first", F.col("pos") - F.col("offset")).filter("first >= 0")
-    sums = parts.groupBy(*SERIES, "first").agg(F.count("*").alias("n"), F.first("len").alias("len"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.sum(F.col("z") * F.col("value")).alias("zv"), F.sum("z").alias("zs"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.min("ts").alias("start"), F.max("ts").alias("end"))
-    whole = sums.filter((F.col("n") == F.col("len")) & (F.col("std") >= 1e-9))
-    cross = (F.col("zv") - F.col("mean") * F.col("zs")) / F.col("std")
-    dist = F.sqrt(F.greatest(F.lit(0.0), F.col("zz") + (F.col("len") - 1) - 2 * cross))
-    w = Window.partitionBy(*SERIES).orderBy("distance", "first")
-    return whole.withColumn("distance", F.round(dist, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(*SERIES, "rank", "first", "start", "end", "distance")
+    """start, end and distance of the ``top`` stretches of each series nearest its query."""
+    return transforms.nearest(query, readings, top)
 
 
 def dtw(query: DataFrame, readings: DataFrame, candidates: int = 10) -> DataFrame:
-    """As ``subsequence``, the nearest ``candidates`` re-ranked by dynamic time warping."""
-    near = subsequence(query, readings, candidates)
-    n = query.groupBy(*SERIES).agg(F.count("*").alias("len"), F.array_sort(F.collect_list(F.struct("offset", "q"))).alias("qs"))
-    values = windows.position(readings).join(near.join(n, SERIES), SERIES).filter((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.col("len")))
-    arrays = values.groupBy(*SERIES, "first", "start", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"), F.transform(F.first("qs"), lambda x: x["q"]).alias("q"))
-
-    @F.pandas_udf("double")
-    def warped(v: pd.Series, q: pd.Series) -> pd.Series:
-        def one(a, b) -> float:
-            a, b = ((np.asarray(x, float) - np.mean(x)) / (np.std(x) if np.std(x) > 1e-9 else 1.0) for x in (a, b))
-            row = np.full(len(b) + 1, np.inf)
-            row[0] = 0.0
-            for x in a:
-                last, row = row, np.full(len(b) + 1, np.inf)
-                cost = (b - x) ** 2
-                for j in range(1, len(b) + 1):
-                    row[j] = cost[j - 1] + min(last[j], last[j - 1], row[j - 1])
-            return float(np.sqrt(row[-1]))
-
-        return pd.Series([one(a, b) for a, b in zip(v, q, strict=True)])
-
-    scored = arrays.withColumn("distance", F.round(warped("v", "q"), 6))
-    w = Window.partitionBy(*SERIES).orderBy("distance", "first")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(*SERIES, "first", "start", "end", "distance")
+    """As ``subsequence``, by time warping: the best of all stretches, not of the ``candidates`` alone."""
+    return transforms.nearest_warped(query, readings, candidates)
 
 
 def day_metric(readings: DataFrame, kind: str, least: int = 8, width: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from tidegauge.functions import answers as A2
 from tidegauge.functions import sax
 from tidegauge.functions import text as T
 from tidegauge.operators import aggregates as A
+from tidegauge.operators import blocks as L
 from tidegauge.operators import windows as W
 from tidegauge.registry.basics import CH, TS, WORDS, daily_words, sax_sql
 
@@ -48,8 +49,8 @@ for name, stat, f, n in (("win_centred_mean", "avg", F.avg, 5), ("win_centred_st
     add(name, lambda s, d, f=f, n=n: out(W.centred(V.hourly(s, d), "v", f, "value", n), "v"), V.sql("hr") + ", " + centred_sql("hr", "c", stat, "value", n, digits=12) + " SELECT channel_id, ts, round(r, 6) AS v FROM c")
 add("win_diff1", lambda s, d: out(V.hourly(s, d).withColumn("v", W.difference()), "v"), V.sql("hr") + " SELECT channel_id, ts, round(value - lag(value) OVER (PARTITION BY channel_id ORDER BY ts), 6) AS v FROM hr")
 add("win_diff2", lambda s, d: out(V.hourly(s, d).withColumn("a", F.coalesce(W.difference(), F.lit(0.0))).withColumn("v", F.coalesce(F.abs(W.difference("a")), F.lit(0.0))), "v"), V.sql("hr") + ", a AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY channel_id ORDER BY ts), 0) AS a FROM hr) SELECT channel_id, ts, round(coalesce(abs(a - lag(a) OVER (PARTITION BY channel_id ORDER BY ts)), 0), 6) AS v FROM a")
-add("win_running_extreme", lambda s, d: W.running_extreme(W.position(V.hourly(s, d)), "value", True).select(CH, TS, F.round("move", 6).alias("move")), V.sql("hr") + " SELECT channel_id, ts, round(value - min(value) OVER (PARTITION BY channel_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS move FROM hr")
-add("win_longest_run", lambda s, d: W.longest_run(W.position(V.hourly(s, d)).withColumn("on", F.col("value") > 20), "on").select(CH, "start", "end", F.col("length").cast("long").alias("length")), V.sql("hr") + f", {POS}, " + longest_sql("ps", "value > 20") + ' SELECT channel_id, s AS start, e AS "end", b - a AS length FROM lr')
+add("win_running_extreme", lambda s, d: L.running_extreme(L.position(V.hourly(s, d), unit="day"), "value", True, "day").select(CH, TS, F.round("move", 6).alias("move")), V.sql("hr") + " SELECT channel_id, ts, round(value - min(value) OVER (PARTITION BY channel_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS move FROM hr")
+add("win_longest_run", lambda s, d: L.longest_run(L.position(V.hourly(s, d), unit="day").withColumn("on", F.col("value") > 20), "on", "day").select(CH, "start", "end", F.col("length").cast("long").alias("length")), V.sql("hr") + f", {POS}, " + longest_sql("ps", "value > 20") + ' SELECT channel_id, s AS start, e AS "end", b - a AS length FROM lr')
 WALK = (60.0, 40.0, 20.0, 10.0, 1.0)
 add("win_threshold_walk", lambda s, d: W.threshold_walk(W.position(V.hourly(s, d)), [F.col("value") > t for t in WALK], F.lit(12)).select(CH, "rank", "start", "end"), V.sql("hr") + f", {POS}, " + f"th AS (SELECT ps.*, t.rank, t.cut FROM ps, (VALUES " + ", ".join(f"({i}, {t})" for i, t in enumerate(WALK)) + ") t(rank, cut)), " + longest_sql("th", "value > cut", keys="channel_id, rank") + ", q AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY rank) AS k FROM lr WHERE b - a >= 12) SELECT channel_id, CAST(rank AS INTEGER) AS rank, s AS start, e AS \"end\" FROM q WHERE k = 1")
 
@@ -62,11 +63,11 @@ lm AS (SELECT channel_id, max(CASE WHEN value {off} mid AND pos < peak THEN pos
 SELECT j.channel_id, min(ts) AS start, max(ts) AS "end" FROM j JOIN lm USING (channel_id) WHERE pos > coalesce(lo, -1) AND pos < coalesce(hi, 1e9) GROUP BY 1"""
 
 
-add("win_midline_walk", lambda s, d: W.midline_walk(W.position(V.hourly(s, d)), "value", True).select(CH, "start", "end"), midline_sql(True))
+add("win_midline_walk", lambda s, d: W.midline_walk(L.position(V.hourly(s, d), unit="day"), "value", True).select(CH, "start", "end"), midline_sql(True))
 add("win_interpolate", lambda s, d: out(W.interpolated(V.hourly(s, d), "hour"), "value"), V.sql("hr") + ", " + sax_sql("hr", "day", "hour") + " SELECT channel_id, ts, round(value, 6) AS value FROM gi")
 add("win_znorm", lambda s, d: V.hourly(s, d).withColumn("m", F.avg("value").over(W.Window.partitionBy(CH))).withColumn("p", F.stddev_pop("value").over(W.Window.partitionBy(CH))).select(CH, TS, F.round((F.col("value") - F.col("m")) / F.col("p"), 6).alias("z")), V.sql("hr") + " SELECT channel_id, ts, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM hr WINDOW w AS (PARTITION BY channel_id)")
-add("win_position", lambda s, d: W.position(V.hourly(s, d)).select(CH, TS, F.col("pos").cast("long").alias("pos")), V.sql("hr") + f", {POS} SELECT channel_id, ts, pos FROM ps")
-add("win_prefix_sums", lambda s, d: W.prefix_sums(V.hourly(s, d)).select(CH, TS, F.round("sum_y", 5).alias("sum_y"), F.round("sum_yy", 6).alias("sum_yy")), V.sql("hr") + " SELECT channel_id, ts, round(sum(value) OVER w, 5) AS sum_y, round(sum(value * value) OVER w, 6) AS sum_yy FROM hr WINDOW w AS (PARTITION BY channel_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+add("win_position", lambda s, d: L.position(V.hourly(s, d), unit="day").select(CH, TS, "pos"), V.sql("hr") + f", {POS} SELECT channel_id, ts, pos FROM ps")
+add("win_prefix_sums", lambda s, d: L.prefix_sums(V.hourly(s, d), unit="day").select(CH, TS, F.round("sum_y", 5).alias("sum_y"), F.round("sum_yy", 6).alias("sum_yy")), V.sql("hr") + " SELECT channel_id, ts, round(sum(value) OVER w, 5) AS sum_y, round(sum(value * value) OVER w, 6) AS sum_yy FROM hr WINDOW w AS (PARTITION BY channel_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 add("win_relative_rank", lambda s, d: V.daily(s, d).withColumn("label", F.when(F.col("value") >= 0.6 * F.max("value").over(W.Window.partitionBy(CH)), "rapid").otherwise("gradual")).groupBy(CH, "label").agg(F.count("*").alias("n")), V.sql("dy") + ", x AS (SELECT channel_id, CASE WHEN value >= 0.6 * max(value) OVER (PARTITION BY channel_id) THEN 'rapid' ELSE 'gradual' END AS label FROM dy) SELECT channel_id, label, count(*) AS n FROM x GROUP BY 1, 2")
 add("win_segment_zscore", lambda s, d: V.hourly(s, d).withColumn("seg", F.floor(F.dayofmonth(TS) / 8).cast("int")).withColumn("m", F.avg("value").over(W.Window.partitionBy(CH, "seg"))).withColumn("p", F.stddev_pop("value").over(W.Window.partitionBy(CH, "seg"))).select(CH, TS, "seg", F.round((F.col("value") - F.col("m")) / F.col("p"), 6).alias("z")), V.sql("hr") + ", x AS (SELECT *, CAST(day(ts) // 8 AS INTEGER) AS seg FROM hr) SELECT channel_id, ts, seg, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM x WINDOW w AS (PARTITION BY channel_id, seg)")
 
