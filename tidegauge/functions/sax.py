@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,7 +49,8 @@ def shape_pattern(shape: Column) -> Column:
 def matches(sax: Column, pattern: Column | str) -> Column:
     """Whether the word holds the pattern anywhere; a null word or pattern doesn't.
 
-    A pattern given as a string may be invalid: then no word holds it. A column's must be valid.
+    A pattern given as a string may be invalid: then no word holds it. Of a column's, ``checked`` makes the
+    invalid ones null first.
     """
     if isinstance(pattern, str):
         try:
@@ -58,3 +59,23 @@ def matches(sax: Column, pattern: Column | str) -> Column:
             return F.lit(False)
         pattern = F.lit(pattern)
     return F.coalesce(F.regexp(sax, pattern), F.lit(False))
+
+
+
+
+def checked(pattern: Column) -> Column:
+    """``pattern`` where it is a valid expression, else null; looked at once for each distinct one of a batch."""
+
+    @F.pandas_udf("string")
+    def valid(patterns: pd.Series) -> pd.Series:
+        def sound(p: str) -> bool:
+            try:
+                re.compile(p)
+            except re.error:
+                return False
+            return True
+
+        known = {p: p if sound(p) else None for p in patterns.dropna().unique()}
+        return pd.Series([known.get(p) for p in patterns], dtype=object)
+
+    return valid(pattern)

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from tidegauge.views import SERIES
 
 
-def task_readings(tasks: DataFrame, readings: DataFrame) -> DataFrame:
+def task_readings(tasks: DataFrame, readings: DataFrame, unit: str = "month", least: str = "1900-01-01", most: str = "2199-12-31", keys: list[str] = SERIES) -> DataFrame:
     """Each task (task_id, channel_id, a, b and more) with its readings from a to b, both included.
 
-    An equi-join on the series with the range as its condition; Spark broadcasts the tasks if they
-    are few.
+    A range is spread over the calendar ``unit``s it touches, and meets readings of its series and unit by an
+    equi-join, so a short range never meets a whole series. What lies before ``least`` or after ``most``
+    is one unit each. Ranges with a null or reversed end have no readings.
     """
-    return tasks.join(readings, SERIES).filter(F.col("ts").between(F.col("a"), F.col("b")))
+    inside = lambda t: F.greatest(F.least(t, F.lit(most).cast("timestamp_ntz")), F.lit(least).cast("timestamp_ntz"))
+    part = lambda t: F.date_trunc(unit, inside(t)).cast("timestamp_ntz")
+    units = F.explode(F.sequence(part(F.col("a")), part(F.col("b")), F.expr(f"interval 1 {unit}")))
+    spread = tasks.filter("a <= b").withColumn("_unit", units)
+    return spread.join(readings.withColumn("_unit", part(F.col("ts"))), [*keys, "_unit"]).filter(F.col("ts").between(F.col("a"), F.col("b"))).drop("_unit")
 
 
 def with_companion(readings: DataFrame, suffix: str = "_hist_mean", name: str = "base") -> DataFrame:

@@ -32,6 +32,23 @@ def by_step(readings: DataFrame, plan: Callable[[DataFrame, float], DataFrame])
     return out if out is not None else plan(readings.filter(F.lit(False)), 1.0)
 
 
+def by_width(readings: DataFrame, spans: list[tuple[float, int]], plan: Callable[..., DataFrame], most: int = 100) -> DataFrame:
+    """``plan(series, *samples)`` for the series of each choice of samples in ``spans`` (seconds, least).
+
+    Series whose steps come to the same numbers of samples share a plan, so there are few. Of the series
+    beyond the ``most`` commonest choices, and those without two readings, there is no row; nothing is raised.
+    """
+    steps = aggregates.median_step(readings).filter("step > 0")
+    numbers = F.array(*(aggregates.samples_per(seconds, F.col("step"), least) for seconds, least in spans))
+    widths = steps.select(*SERIES, numbers.alias("_widths"))
+    common = widths.groupBy("_widths").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_widths").limit(most).collect()
+    out = None
+    for own in sorted(r["_widths"] for r in common):
+        part = plan(readings.join(widths.filter(F.col("_widths") == F.array(*map(F.lit, own))).select(*SERIES), SERIES, "left_semi"), *own)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else plan(readings.filter(F.lit(False)), *(least for _, least in spans))
+
+
 def interval_discovery(readings: DataFrame, op: str, threshold: float) -> DataFrame:
     """The longest stretch where the value is above, or below, a threshold."""
     mask = {">": F.col("value") > threshold, "<": F.col("value") < threshold}[op]

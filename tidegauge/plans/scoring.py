@@ -99,10 +99,14 @@ def score(df: DataFrame) -> DataFrame:
     p, g = F.col("prediction"), F.col("ground_truth")
     (a, b), (c, d) = text.parse_interval(p), text.parse_interval(g)
     plain = F.when(F.col("eval_metric") == "rel_acc", rel_acc(text.parse_float(p), text.parse_float(g))).when(F.col("eval_metric") == "hit", hit(text.parse_timestamp(p), text.parse_timestamp(g))).when(F.col("eval_metric") == "iou", iou(a, b, c, d)).when(F.col("eval_metric") == "set_f1", set_f1(text.parse_date_set(p), text.parse_date_set(g)))
-    # rows of other metrics have no report to parse and align
-    report = lambda c: F.when(F.col("eval_metric") == "report", c).otherwise("")
-    out = report_parts(df.withColumns({"_own_p": report(p), "_own_g": report(g)}), "_own_p", "_own_g").drop("_own_p", "_own_g")
-    return out.withColumn("score", F.coalesce(F.when(F.col("eval_metric") == "report", F.col("breakdown.overall")).otherwise(plain), F.lit(0.0))).withColumn("breakdown", F.when(F.col("eval_metric") == "report", F.col("breakdown")))
+    is_report = F.coalesce(F.col("eval_metric") == "report", F.lit(False))
+    parts = "struct<overall:double,trend:double,interval:double,adjective:double,outlier:double>"
+    # only rows of reports go through their parsers and the alignment
+    others = df.filter(~is_report).withColumns({"score": F.coalesce(plain, F.lit(0.0)), "breakdown": F.lit(None).cast(parts)})
+    reports = report_parts(df.filter(is_report), "prediction", "ground_truth")
+    reports = reports.withColumns({"score": F.coalesce("breakdown.overall", F.lit(0.0)), "breakdown": F.col("breakdown").cast(parts)})
+    columns = [*(c for c in df.columns if c not in ("score", "breakdown")), "score", "breakdown"]
+    return others.select(columns).unionByName(reports.select(columns))
 
 
 def summary(scores: DataFrame, group: str, names: list[str]) -> DataFrame:

@@ -179,12 +179,12 @@ add("agg_missing", lambda s, d: J.pending(task_rows(s, d), answers(s, d)).agg(F.
 
 # aggregates
 add("agg_global", lambda s, d: A.global_aggregate(V.events(s, d)).select(CH, "min", "max", F.round("avg", 8).alias("avg"), F.round("sum", 4).alias("sum"), "count", F.round("std", 8).alias("std")), V.sql("ev") + " SELECT channel_id, min(value) AS min, max(value) AS max, round(avg(value), 8) AS avg, round(sum(value), 4) AS sum, CAST(count(*) AS DOUBLE) AS count, round(stddev_samp(value), 8) AS std FROM ev GROUP BY 1")
-add("agg_window_stats", lambda s, d: A.window_stats(V.events(s, d), "day").select(CH, "window_start", "min_val", "max_val", F.round("avg_val", 8).alias("avg_val"), F.round("std_val", 8).alias("std_val")), V.sql("ev") + " SELECT channel_id, date_trunc('day', ts) AS window_start, min(value) AS min_val, max(value) AS max_val, round(avg(value), 8) AS avg_val, round(stddev_samp(value), 8) AS std_val FROM ev GROUP BY 1, 2 HAVING count(*) > 1")
+add("agg_window_stats", lambda s, d: P.statistics(P.coarser(P.hours(V.events(s, d)), "day")).select(CH, "window_start", "min_val", "max_val", F.round("avg_val", 8).alias("avg_val"), F.round("std_val", 8).alias("std_val")), V.sql("ev") + " SELECT channel_id, date_trunc('day', ts) AS window_start, min(value) AS min_val, max(value) AS max_val, round(avg(value), 8) AS avg_val, round(stddev_samp(value), 8) AS std_val FROM ev GROUP BY 1, 2 HAVING count(*) > 1")
 SLOPE_SQL = "sl AS (SELECT channel_id, window_start, coalesce(regr_slope(value, x), 0) AS slope FROM (SELECT channel_id, value, date_trunc('{u}', ts) AS window_start, (row_number() OVER (PARTITION BY channel_id, date_trunc('{u}', ts) ORDER BY ts) - 1) / CAST(nullif(count(*) OVER (PARTITION BY channel_id, date_trunc('{u}', ts)) - 1, 0) AS DOUBLE) AS x FROM {src}) GROUP BY 1, 2)"
 add("agg_slope", lambda s, d: A.slope(V.hourly(s, d), "day").select(CH, "window_start", F.round("slope", 6).alias("slope")), V.sql("hr") + ", " + SLOPE_SQL.format(u="day", src="hr") + " SELECT channel_id, window_start, round(slope, 6) AS slope FROM sl")
 add("agg_paa", lambda s, d: V.events(s, d).groupBy(CH, F.date_trunc("hour", TS).cast("timestamp_ntz").alias("bin")).agg(F.round(F.avg("value"), 8).alias("value")), V.sql("ev") + " SELECT channel_id, date_trunc('hour', ts) AS bin, round(avg(value), 8) AS value FROM ev GROUP BY 1, 2")
 add("agg_multiscale", lambda s, d: P.build(V.daily(s, d)).groupBy("granularity", CH).agg(F.count("*").alias("n"), F.round(F.sum("max_val"), 2).alias("top")), V.sql("dy") + " " + " UNION ALL ".join(f"SELECT '{g}' AS granularity, channel_id, count(*) AS n, round(sum(m), 2) AS top FROM (SELECT channel_id, max(value) AS m FROM dy GROUP BY 1, date_trunc('{u}', ts) HAVING count(*) > 1) GROUP BY 2" for g, u in (("yearly", "year"), ("monthly", "month"))) + " UNION ALL SELECT 'daily', channel_id, 0, 0.0 FROM dy WHERE false")
-add("agg_sax_word", lambda s, d: P.words(V.hourly(s, d), "day", "hour").select(CH, "window_start", "sax", "sax_len"), V.sql("hr") + ", " + sax_sql("hr", "day", "hour") + " SELECT channel_id, window_start, sax, sax_len FROM sx")
+add("agg_sax_word", lambda s, d: P.day_words(V.hourly(s, d)).select(CH, "window_start", "sax", "sax_len"), V.sql("hr") + ", " + sax_sql("hr", "day", "hour") + " SELECT channel_id, window_start, sax, sax_len FROM sx")
 add("agg_median_step", lambda s, d: A.median_step(V.events(s, d)).select(CH, F.round("step", 6).alias("step")), V.sql("ev") + " SELECT channel_id, round(median(gap), 6) AS step FROM (SELECT channel_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY channel_id ORDER BY ts)) / 1e6 AS gap FROM ev) GROUP BY 1")
 add("agg_quantile", lambda s, d: V.events(s, d).groupBy(CH).agg(*(F.round(F.percentile("value", q), 8).alias(n) for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8)))), V.sql("ev") + " SELECT channel_id, " + ", ".join(f"round(quantile_cont(value, {q}), 8) AS {n}" for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8))) + " FROM ev GROUP BY 1")
 add("agg_std_pop", lambda s, d: V.events(s, d).groupBy(CH).agg(F.round(F.stddev_pop("value"), 8).alias("std")), V.sql("ev") + " SELECT channel_id, round(stddev_pop(value), 8) AS std FROM ev GROUP BY 1")
