@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import sax
 from tidegauge.operators import windows
-from tidegauge.views import SERIES, scratch
+from tidegauge.views import SERIES, stored
 
 #: Granularity -> (window, bin of a letter).
 SCALES = {"yearly": ("year", "month"), "monthly": ("month", "day"), "daily": ("day", "hour")}
@@ -98,10 +98,7 @@ def build(readings: DataFrame) -> DataFrame:
     Hours are written to the shared folder, so readings are read and shuffled once, and months, years
     and all words are made from what is left of them.
     """
-    spark, at = readings.sparkSession, scratch(readings.sparkSession, "hours")
-    own = hours(readings)
-    own.write.parquet(at)
-    parts = {"hour": spark.read.schema(own.schema).parquet(at)}
+    parts = {"hour": stored(hours(readings), "hours")}
     for finer, unit in (("hour", "day"), ("day", "month"), ("month", "year")):
         parts[unit] = coarser(parts[finer], unit)
     out = None

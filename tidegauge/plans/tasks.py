@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import sax, text
 from tidegauge.operators import aggregates, joins, topk, windows
 from tidegauge.plans import detect, features, insight, scoring
-from tidegauge.views import SERIES
+from tidegauge.views import SERIES, stored
 
 DAY, HOUR = 86400.0, 3600.0
 SHAPE_WORDS = {"depression": "depression|low plateau|bottom(s|ed|ing)? out", "plateau": "plateau|stable period", "spike": "spike", "valley": "valley", "step_up": "step[- _]?up|ascent", "step_down": "step[- _]?down|descent"}
@@ -240,10 +240,11 @@ def explained(tasks: DataFrame, readings: DataFrame) -> DataFrame:
     unique.
     """
     said = slots(tasks)
-    there = {r[0] for r in tasks.select("subtask").distinct().filter(F.col("subtask").isin(list(SUBTASKS))).collect()}
+    there = {r[0] for r in said.select("subtask").distinct().filter(F.col("subtask").isin(list(SUBTASKS))).collect()}
     kinds = {n: F.size(n) == 0 if n == "kinds" else F.col(n).isNull() for names in NEEDED.values() for n in names}
     missing = F.coalesce(*(F.when(F.col("subtask") == name, F.concat_ws(", ", *(F.when(kinds[n], n) for n in names))) for name, names in NEEDED.items()), F.lit(""))
-    said = said.withColumn("_missing", missing)
+    # a row a question; parsed once, as every plan below reads its slots
+    said = stored(said.withColumn("_missing", missing), "slots")
     parts = [plan(said.filter((F.col("subtask") == name) & (F.col("_missing") == "")), readings) for name, plan in SUBTASKS.items() if name in there]
     found = union(parts, tasks).groupBy("task_id").agg(F.first("prediction", ignorenulls=True).alias("prediction"))
     known = F.coalesce(F.col("subtask").isin(list(SUBTASKS)), F.lit(False))
