@@ -235,7 +235,7 @@ def test_search_equals_brute_force(docs, empty):
     idf = {w: math.log(1 + (len(bags) - f + 0.5) / (f + 0.5)) for w, f in df_of.items()}
     signed = lambda w: (h := xxhash.xxh3_64_intdigest(w)) - (1 << 64 if h >> 63 else 0)
     got = collections.defaultdict(list)
-    for r in search.top_k(df, df.filter("doc_id % 20 = 0")).collect():
+    for r in search.top_k(df, df.filter("doc_id % 20 = 0"), n_terms=16).collect():
         got[r.query_id].append((r.rank, r.doc_id, round(r.score, 9)))
     for q in (d for d in bags if d % 20 == 0):
         asked = sorted(bags[q], key=lambda w: (-idf[w] * bags[q][w] / (bags[q][w] + 1.2), signed(w)))[:16]
@@ -249,7 +249,7 @@ def test_search_of_odd_rows(spark):
     """Null ids, null and empty texts, equal scores, a clashing column."""
     rows = [(None, "red fox", 1), (1, "red fox", 1), (2, "red fox", 1), (3, None, 1), (4, "", 1), (5, "blue", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    got = {(r.query_id, r.rank, r.doc_id) for r in search.top_k(df, df).collect()}
+    got = {(r.query_id, r.rank, r.doc_id) for r in search.top_k(df, df, n_terms=16).collect()}
     assert got == {(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (5, 1, 5)}
 
 
@@ -287,7 +287,7 @@ def test_wand_equals_full_scoring():
 def test_search_does_not_depend_on_shards(docs):
     df = docs.filter("doc_id < 400")
     asked = df.filter("doc_id % 20 = 0")
-    one, many = ({tuple(r) for r in search.top_k(df.repartition(n, "doc_id"), asked).collect()} for n in (1, 7))
+    one, many = ({tuple(r) for r in search.top_k(df.repartition(n, "doc_id"), asked, n_terms=16).collect()} for n in (1, 7))
     assert one == many
 
 
@@ -340,7 +340,7 @@ def test_line_dedup_equals_brute_force(docs):
     for d, i, f in own:
         first[group[f]] = min(first.get(group[f], (d, i)), (d, i))
     gone = collections.Counter(d for d, i, f in own if first[group[f]] != (d, i))
-    assert {r.doc_id: r.n_removed for r in lines.without_repeated_lines(df).collect()} == {d: gone[d] for d, _ in texts(df)}
+    assert {r.doc_id: r.n_removed for r in lines.without_repeated_lines(df, distance=lines.DISTANCE).collect()} == {d: gone[d] for d, _ in texts(df)}
 
 
 def test_line_dedup_recall_on_edit_similarity(spark):

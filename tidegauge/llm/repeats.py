@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings by anchored span hashing, in place of bucket-pointer refinement.
 
 A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in the corpus.
 
