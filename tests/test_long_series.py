@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import aggregates, blocks, transforms, windows
+from tidegauge.operators import aggregates, blocks, topk, transforms, windows
 from tidegauge.plans import detect
 
 START = datetime.datetime(2020, 1, 1)
@@ -158,3 +158,17 @@ def test_warping_is_exact_where_the_best_is_not_among_the_nearest(spark, monkeyp
         want = min((warp(values[i : i + len(own)], own), i) for i in range(len(values) - len(own) + 1))
         assert (got[f"c{k}"].distance, got[f"c{k}"]["first"]) == want
     assert got["c0"]["first"] not in near
+
+
+@pytest.mark.parametrize(("k", "gap", "kinds"), [(5, 3, 4), (3, 10, 50), (1, 5, 9), (4, 0, 3), (8, 40, 1000)])
+def test_spaced_choice_equals_greedy(spark, k, gap, kinds):
+    """Also with many ties, series shorter than the gap, and fewer places than asked for."""
+    rng = random.Random(k)
+    ys = [[rng.randrange(kinds) for _ in range(n)] for n in (1, 2, 7, 60, 300)] + [[5] * 90, list(range(120)), list(range(120, 0, -1))]
+    got = {r.channel_id: r.chosen for r in topk.spaced(windows.position(series(spark, *ys)), k, gap).collect()}
+    for c, y in enumerate(ys):
+        chosen = []
+        for p in sorted(range(len(y)), key=lambda i: (-y[i], i)):
+            if len(chosen) < k and all(abs(p - q) > gap for q in chosen):
+                chosen.append(p)
+        assert got[f"c{c}"] == chosen

@@ -29,6 +29,27 @@ def min_gap(candidates: Column, gap: Column | int, k: int) -> Column:
     return F.aggregate(candidates, empty, lambda s, p: F.when((F.size(s) < k) & far(s, p), F.array_append(s, p)).otherwise(s))
 
 
+def spaced(df: DataFrame, k: int, gap: int, value: str = "value", keys: list[str] = SERIES) -> DataFrame:
+    """(keys, chosen): the greedy choice of ``k`` places by the greatest ``value``, each more than ``gap`` from those
+    before, the first of equals; fewer where no more fit. ``df`` needs pos; null values don't count.
+
+    Rows are cut into buckets of ``gap`` + 1 places, of which each holds one chosen place at most. A chosen
+    place rules out the best of its own bucket and of the two beside it alone, so while fewer than k are
+    chosen, one of the 3k - 2 best buckets still has its best. Rows below the last of these are
+    never chosen: what is sorted is (3k - 2)(gap + 1) rows a series at most, however long it is.
+    """
+    buckets = 3 * k - 2
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.struct(F.col(value).alias("v"), (-F.col("pos")).cast("long").alias("p")).alias("row"), F.floor(F.col("pos") / (gap + 1)).alias("bucket"))
+    best = rows.groupBy(*keys, "bucket").agg(F.max("row").alias("best"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("best")))
+    tall = best.withColumn("nth", nth).filter(F.col("nth") <= buckets)
+    # a series of fewer buckets has no floor
+    floor = F.min(F.when(F.col("nth") == buckets, F.col("best"))).over(Window.partitionBy(*keys))
+    near = rows.join(tall.select(*keys, "bucket", floor.alias("floor")), [*keys, "bucket"]).filter(F.col("floor").isNull() | (F.col("row") >= F.col("floor")))
+    order = F.transform(F.sort_array(F.collect_list("row"), asc=False), lambda r: (-r["p"]).cast("int"))
+    return near.groupBy(*keys).agg(order.alias("order")).select(*keys, min_gap(F.col("order"), gap, k).alias("chosen"))
+
+
 def examples(scores: DataFrame, worst: int = 6, best: int = 2, low: float = 0.5, high: float = 0.7) -> DataFrame:
     """Of each subtask: the worst scores below ``low`` and the best at or above ``high``."""
     up, down = (Window.partitionBy("subtask").orderBy(c, "id") for c in (F.col("score"), F.col("score").desc()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge import views as V
 from tidegauge.functions import sax
 from tidegauge.operators import aggregates as A
+from tidegauge.operators import blocks as L
 from tidegauge.operators import joins as J
 from tidegauge.operators import topk as K
 from tidegauge.operators import windows as W
@@ -199,7 +200,11 @@ add("srt_time", lambda s, d: V.hourly(s, d).select(CH, TS, F.round("value", 6).a
 add("top_argextreme", lambda s, d: K.arg_extreme(V.events(s, d), "value", True).select(CH, TS, "value"), V.sql("ev") + " SELECT channel_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY value DESC, ts) AS r FROM ev) WHERE r = 1")
 pools = lambda s, d: V.hourly(s, d).groupBy(CH, F.to_date(TS).alias("day")).agg(F.round(F.max("value"), 6).alias("metric")).withColumn("in_sax", F.dayofmonth("day") % 5 == 0)
 add("top_k_pool_first", lambda s, d: K.pool_first(pools(s, d), "metric", True, 8, [CH]), V.sql("hr") + ", x AS (SELECT channel_id, CAST(ts AS DATE) AS day, round(max(value), 6) AS metric, day(ts) % 5 = 0 AS in_sax FROM hr GROUP BY ALL), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY in_sax DESC, metric DESC, day) AS INTEGER) AS rank FROM x) SELECT * FROM y WHERE rank <= 8")
-add("top_k_min_gap", lambda s, d: W.position(V.hourly(s, d)).groupBy(CH).agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), F.col("pos").cast("int").alias("pos")))).alias("c")).select(CH, K.min_gap(F.transform("c", lambda x: x["pos"]), 24, 5).alias("chosen")))
+GREEDY = """ps AS (SELECT channel_id, value, row_number() OVER (PARTITION BY channel_id ORDER BY ts) - 1 AS pos FROM hr),
+g AS (SELECT channel_id, CAST([] AS BIGINT[]) AS chosen FROM ps GROUP BY 1 UNION ALL
+SELECT g.channel_id, list_append(chosen, arg_min(pos, {'v': -value, 'p': pos})) FROM g JOIN ps ON g.channel_id = ps.channel_id
+WHERE len(chosen) < 5 AND len(list_filter(chosen, lambda c: abs(c - pos) <= 24)) = 0 GROUP BY g.channel_id, chosen)"""
+add("top_k_min_gap", lambda s, d: K.spaced(L.position(V.hourly(s, d)), 5, 24).select(CH, F.explode(F.col("chosen").cast("array<long>")).alias("pos")), V.sql("hr").replace("WITH ", "WITH RECURSIVE ") + f", {GREEDY} SELECT channel_id, unnest(arg_max(chosen, len(chosen))) AS pos FROM g GROUP BY 1")
 add("top_best_score", lambda s, d: V.table(s, d, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("best")), "SELECT p_brand, arg_min(p_partkey, p_retailprice * 1e7 + p_partkey) AS best FROM part GROUP BY 1")
 add("downsample_stride", lambda s, d: K.stride(V.events(s, d), 100).select(CH, TS, "value"), V.sql("ev") + " SELECT channel_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY channel_id) AS n FROM ev) WHERE i % greatest(1, n // 100) = 0")
 add("sample_per_group", lambda s, d: K.one_per_group(V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_acctbal"), "c_mktsegment", F.col("c_acctbal") > 9000, 7).select("c_mktsegment", "id"))
