@@ -151,21 +151,21 @@ def periodicity(readings: DataFrame, first_lags: int = 64) -> DataFrame:
     Small lags come first; all lags only for series without a peak among them.
     """
     n = readings.groupBy(*SERIES).agg(F.count("*").alias("n"))
+    half, all_ = F.greatest(F.lit(1), F.floor(F.col("n") / 2).cast("int")), F.greatest(F.lit(1), F.col("n").cast("int") - 1)
 
-    def peaks(some: DataFrame, most) -> DataFrame:
+    def peaks(some: DataFrame, most, upto) -> DataFrame:
+        """The period of the series with a peak up to the lag ``most``, of the lags up to ``upto`` at once."""
         # rounded, so that equal neighbours aren't told apart by the transform's last digits
-        acf = aggregates.autocorrelation(some, F.sequence(F.lit(1), most)).withColumn("acf", F.round("acf", 12))
-        w = Window.partitionBy(*SERIES).orderBy("lag")
-        near = acf.withColumn("a", F.lag("acf").over(w)).withColumn("b", F.lead("acf").over(w))
-        good = (F.col("lag") >= 2) & (F.col("acf") > F.col("a")) & (F.col("acf") > F.col("b")) & (F.col("acf") > 0.1)
-        return near.filter(good).groupBy(*SERIES).agg(F.min("lag").alias("lag"))
-
-    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2).cast("int"))
-    early = peaks(readings, F.least(F.lit(first_lags), half))
-    late = peaks(readings.join(early, SERIES, "left_anti"), half)
-    found = early.unionByName(late)
-    double = aggregates.autocorrelation(readings, F.array(F.col("lag") * 2), more=found).select(*SERIES, F.col("acf").alias("twice"))
-    peaked = found.join(double, SERIES, "left").select(*SERIES, F.when(F.col("twice") < -0.1, F.col("lag") * 2).otherwise(F.col("lag")).cast("long").alias("period"))
+        acf = aggregates.autocorrelation(some, F.sequence(F.lit(1), upto)).withColumn("acf", F.round("acf", 12))
+        rows = acf.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("a")).join(n, SERIES).withColumn("most", most)
+        at = lambda lag: F.get("a", lag - 1)
+        good = F.filter(F.sequence(F.lit(2), F.greatest(F.col("most") - 1, F.lit(2))), lambda x: (x < F.col("most")) & (at(x) > at(x - 1)) & (at(x) > at(x + 1)) & (at(x) > 0.1))
+        first = rows.withColumn("lag", F.get(good, F.lit(0))).filter("lag is not null")
+        return first.select(*SERIES, F.when(at(F.col("lag") * 2) < -0.1, F.col("lag") * 2).otherwise(F.col("lag")).cast("long").alias("period"))
+
+    early = peaks(readings, F.least(F.lit(first_lags), half), F.least(F.lit(2 * first_lags), all_))
+    late = peaks(readings.join(early, SERIES, "left_anti"), half, all_)
+    found = peaked = early.unionByName(late)
     rest = readings.join(found, SERIES, "left_anti").join(n.filter("n >= 9"), SERIES)
     spectrum = aggregates.spectrum(rest, F.sequence(F.lit(3), F.floor(F.col("n") / 3).cast("int")))
     top = spectrum.filter("magnitude > 1e-9").groupBy(*SERIES).agg(F.max_by(F.struct("k", "n"), F.struct("magnitude", -F.col("k"))).alias("t"))
