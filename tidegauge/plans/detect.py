@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import sax
 from tidegauge.operators import aggregates, topk, transforms, windows
-from tidegauge.views import SERIES
+from tidegauge.views import SERIES, stored
 
 
 def by_step(readings: DataFrame, plan: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
@@ -163,8 +163,8 @@ def periodicity(readings: DataFrame, first_lags: int = 64) -> DataFrame:
         first = rows.withColumn("lag", F.get(good, F.lit(0))).filter("lag is not null")
         return first.select(*SERIES, F.when(at(F.col("lag") * 2) < -0.1, F.col("lag") * 2).otherwise(F.col("lag")).cast("long").alias("period"))
 
-    early = peaks(readings, F.least(F.lit(first_lags), half), F.least(F.lit(2 * first_lags), all_))
-    late = peaks(readings.join(early, SERIES, "left_anti"), half, all_)
+    early = stored(peaks(readings, F.least(F.lit(first_lags), half), F.least(F.lit(2 * first_lags), all_)), "periods")  # a row a series, used three times
+    late = stored(peaks(readings.join(early, SERIES, "left_anti"), half, all_), "periods")
     found = peaked = early.unionByName(late)
     rest = readings.join(found, SERIES, "left_anti").join(n.filter("n >= 9"), SERIES)
     spectrum = aggregates.spectrum(rest, F.sequence(F.lit(3), F.floor(F.col("n") / 3).cast("int")))
