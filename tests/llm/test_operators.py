@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, wordbpe
+from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, wordbpe, words
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -359,6 +360,52 @@ def test_line_dedup_recall_on_edit_similarity(spark):
     assert all(not got[i] for i in range(200)) and sum(got[d] for d in size) >= 198
 
 
+@pytest.mark.parametrize(("every", "least"), [(3, 194), (2, 174)])
+def test_line_dedup_recall_on_typing_errors(spark, every, least):
+    """One wrong letter in every so many words of six letters."""
+    rng = random.Random(11)
+    word = lambda: [rng.choice("abcdefghijklmnopqrst") for _ in range(6)]
+    rows = []
+    for i in range(200):
+        line = [word() for _ in range(15)]
+        rows.append((i, " ".join("".join(w) for w in line)))
+        for j in rng.sample(range(15), 15 // every):
+            line[j][rng.randrange(6)] = "x"
+        rows.append((1000 + i, " ".join("".join(w) for w in line)))
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(200)) and sum(got[1000 + i] for i in range(200)) >= least
+
+
+def test_line_dedup_without_spaces(spark):
+    """Lines of 60 Chinese characters, of which one to three are changed."""
+    rng = random.Random(12)
+    letter = lambda: chr(rng.randrange(0x4E00, 0x9000))
+    rows = []
+    for i in range(100):
+        line = [letter() for _ in range(60)]
+        rows.append((i, "".join(line)))
+        for j in rng.sample(range(60), 1 + i % 3):
+            line[j] = letter()
+        rows.append((1000 + i, "".join(line)))
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(100)) and all(got[1000 + i] for i in range(100))
+
+
+def test_strings_of_lines():
+    """``grams`` against slices of the normal forms, for gaps, short lines and letters of many bytes."""
+    own = ["abc", "hello  w\u00f6rld, x ", "!!", "\u65e5\u672c\u8a9e\u306e\u6587\u5b57", "\U0001f600 a\tb \U0001f600\U0001f600", "hello w\u00f6rld"]
+    data = np.frombuffer(b"\n".join([*lines.lowered(pa.array(own)), b""]), np.uint8)
+    starts, ends, _ = words.words(data, lines._GAP)
+    upto = np.searchsorted(starts, np.flatnonzero(data == 10))
+    sizes = np.diff(upto, prepend=0)
+    full = np.flatnonzero(sizes)
+    hashes, counts = lines.grams(data, starts[upto[full] - sizes[full]], ends[upto[full] - 1])
+    forms = [lines.normal(own[i]).decode() for i in full]
+    strings = [f[i : i + lines.GRAM] for f in forms for i in range(max(1, len(f) - lines.GRAM + 1))]
+    assert len(hashes) == len(strings) == counts.sum()
+    assert len(set(zip(strings, hashes.tolist(), strict=True))) == len(set(strings)) == len(set(hashes.tolist()))
+
+
 def test_line_dedup_of_long_lines(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
