@@ -426,6 +426,23 @@ def test_within_equals_edit_distance(spark):
         assert [lines.within(a, b, m) for m in range(15)] == [d <= m for m in range(15)]
 
 
+def test_edit_distances_of_many_pairs(spark):
+    """Many at a time: letters of every width, lengths round the numbers' 64 bits, empty and long sides."""
+    rng = random.Random(13)
+    rows = []
+    for letters in ("ab", "abcdefgh \u00e9\u65e5", "".join(map(chr, range(0x4E00, 0x5000)))):
+        for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 300, 2100):
+            for share in (0.05, 0.2, 0.6):
+                a = [rng.choice(letters) for _ in range(n)]
+                b = [c for x in a for c in ([x], [rng.choice(letters)], [], [x, rng.choice(letters)])[rng.randrange(4) if rng.random() < share else 0]]
+                rows.append(("".join(a), "".join(b)))
+    rows += [("", ""), ("", "a"), ("abc", "")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("d", F.levenshtein("a", "b"))
+    a, b, d = (list(x) for x in zip(*df.collect(), strict=True))
+    for most in ([x // 5 for x in map(len, a)], [max(0, x - 1) for x in d], d, [x + 1 for x in d]):
+        assert lines.all_within(a, b, np.array(most)).tolist() == [x <= m for x, m in zip(d, most, strict=True)]
+
+
 def test_line_dedup_of_documents_equals_brute_force(spark):
     """op6 removes what all pairs at edit similarity 0.8 link, without regard to SimHashes."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
