@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -491,8 +492,6 @@ def test_surrogates(spark, empty):
     old = ["Jane.Doe@", "269", "555-3296", "Smith", "192.168.3.4", "be8a8e71", "4532015112830366", "SJDZWJNP6ZRYWK44"]
     assert not any(x in (r.redacted or "") for r in got.values() for x in old)
     assert got[4].redacted is None and got[5].redacted == "" and got[6].redacted == rows[5][1] and got[6].n_entities == 0
-    import re
-
     mail = [re.search(r"\S+@\S+\.com", got[i].redacted).group() for i in (1, 2)]
     assert mail[0].lower() == mail[1] and mail[0][0].isupper() and mail[0][5].isupper()
     digits = [re.sub(r"\D", "", re.search(p, got[i].redacted).group()) for i, p in ((1, r"\+\d \(\d{3}\) \d{3}-\d{4}"), (2, r"\+\d-\d{3}-\d{3}-\d{4}"))]
@@ -501,7 +500,7 @@ def test_surrogates(spark, empty):
     assert plain == spaced.replace(" ", "")
     assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(plain))) % 10 == 0
     names = re.findall(r"Mrs?\. (\w+)", got[1].redacted)
-    assert len(set(names)) == 2
+    assert len(names) == 2 and len(set(names)) == 1  # one family name, whatever the title
     assert re.search(r'token = "[0-9a-f]{40}"', got[2].redacted) and "AKIA" in got[3].redacted
     assert pii.with_surrogates(empty, "key").count() == 0
 
@@ -526,6 +525,60 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.redacted for r in got}) == len(rows) and not {r.redacted for r in got} & {t for _, t in rows}
 
 
+def redacted(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.redacted for r in pii.with_surrogates(df, "key").collect()}
+
+
+def test_surrogates_of_one_person(spark):
+    """The same names with any title and none, within a document and in others; others keep theirs."""
+    got = redacted(
+        spark,
+        "Mr. John Smith met Mrs. Ann Smith-Jones. John Smith spoke; Smith's words. Dr. Smith left.",
+        "Then John Smith came. Smithson and John stayed, Smith Street.",
+        "Smith alone, John alone.",
+        "Prof. Иван Иванов und Herr O'Brien, Mrs. McDonald. Иван Иванов.",
+        "Frau Ann Weber, Mr. John Weber, Dr. John Weber",
+    )
+    person, lady, again, spoke, doctor = re.fullmatch(r"Mr\. (\w+ \w+) met Mrs\. (\w+ \w+)\. (\w+ \w+) spoke; (\w+)'s words\. Dr\. (\w+) left\.", got[0]).groups()
+    given, family = person.split()
+    assert again == person and spoke == doctor == family and lady.split()[1] != family
+    assert given.endswith(tuple(pii.GIVEN_ENDS["latin"]["m"])) and lady.split()[0].endswith(tuple(pii.GIVEN_ENDS["latin"]["f"]))
+    assert got[1] == f"Then {person} came. Smithson and John stayed, {family} Street."
+    assert got[2] == "Smith alone, John alone."
+    cyrillic, brien, donald, plain = re.fullmatch(r"Prof\. ([а-яА-Я]+ [а-яА-Я]+) und Herr (\w+), Mrs\. (\w+)\. (\w+ \w+)\.", got[3]).groups()
+    assert cyrillic == plain and "Иван" not in got[3] and brien != donald
+    ann, weber, john, other, third, last = re.fullmatch(r"Frau (\w+) (\w+), Mr\. (\w+) (\w+), Dr\. (\w+) (\w+)", got[4]).groups()
+    assert ann == lady.split()[0] and john == third == given and weber == other == last and weber != family
+
+
+def test_surrogates_are_valid_in_their_formats(spark):
+    hosts = ["10.0.0.7", "172.20.1.1", "192.168.3.4", "127.0.0.1", "169.254.7.7", "224.0.0.5", "8.8.8.8", "172.40.1.1"]
+    got = redacted(spark, *hosts, "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "+1 202 555 0143", "(202) 555-0143", "+49 30 901820", "+380 44 123 4567", "123-45-6789")
+    import ipaddress
+
+    traits = lambda x: [getattr(ipaddress.ip_address(x), f"is_{t}") for t in ("private", "loopback", "link_local", "multicast")]
+    assert [traits(got[i]) for i in range(8)] == [traits(h) for h in hosts] and all(got[i] != h for i, h in enumerate(hosts))
+    assert got[0].startswith("10.") and got[2].startswith("192.168.")
+    for i, country in ((8, "DE"), (9, "GB")):
+        number = got[i].replace(" ", "")
+        assert number[:2] == country and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+    assert re.fullmatch(r"\+1 [2-9]\d\d [2-9]\d\d \d{4}", got[10]) and re.sub(r"\D", "", got[11]) == re.sub(r"\D", "", got[10])[1:]
+    assert re.fullmatch(r"\+49 [1-9]\d \d{6}", got[12]) and re.fullmatch(r"\+380 [1-9]\d \d{3} \d{4}", got[13])
+    area, group, serial = got[14].split("-")
+    assert 0 < int(area) < 666 and int(group) > 0 and int(serial) > 0
+
+
+def test_surrogates_of_many_names_and_of_a_long_text(spark):
+    """3,000 families stay distinct without odd letters; a text of a million words keeps its rest."""
+    families = ["".join("abcdefghij"[int(c)] for c in f"{i:04}").capitalize() for i in range(3000)]
+    long = "word " * 1_000_000
+    got = redacted(spark, *(f"Mr. {f}" for f in families), f"{long}Mrs. {families[0]} {long}Mr. {families[1]}")
+    names = [got[i].removeprefix("Mr. ") for i in range(3000)]
+    assert len({n.lower() for n in names}) == 3000 and not set(names) & set(families) and all(re.fullmatch("[A-Z][a-z]{5,20}", n) for n in names)
+    assert got[3000] == f"{long}Mrs. {names[0]} {long}Mr. {names[1]}"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
