@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import aggregates, blocks, topk, transforms, windows
+from tidegauge.operators import aggregates, blocks, quantiles, topk, transforms, windows
 from tidegauge.plans import detect
 
 START = datetime.datetime(2020, 1, 1)
@@ -172,3 +172,24 @@ def test_spaced_choice_equals_greedy(spark, k, gap, kinds):
             if len(chosen) < k and all(abs(p - q) > gap for q in chosen):
                 chosen.append(p)
         assert got[f"c{c}"] == chosen
+
+
+@pytest.mark.parametrize("few", [3, 100_000])
+def test_quantiles_equal_percentiles(spark, monkeypatch, few):
+    """Values of all sizes and signs, ties, one value, one row and nulls, by sorting and by repeated cuts."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = np.random.default_rng(3)
+    own = {"normal": rng.normal(size=400), "near": 1e6 + rng.random(300) * 1e-3, "sizes": np.exp(rng.normal(0, 60, 301)) * rng.choice([-1, 1], 301), "ties": rng.integers(-2, 3, 200).astype(float), "same": np.full(50, -7.25), "one": np.array([3.5]), "huge": np.array([-1.7e308, 1.7e308, 0.0, -0.0, 5e-324, -5e-324])}
+    rows = [("t", k, float(x)) for k, v in own.items() for x in v] + [("t", "ties", None), ("t", "none", None)]
+    df = spark.createDataFrame(rows, "task_id string, channel_id string, value double").repartition(5)
+    points = {"least": 0.0, "p30": 0.3, "p50": 0.5, "p75": 0.75, "most": 1.0}
+    got = {r.channel_id: r for r in quantiles.quantiles(df, points).collect()}
+    assert set(got) == set(own)
+    for k, v in own.items():
+        v = np.sort(v)
+        for name, q in points.items():
+            at = q * (len(v) - 1)
+            low, high, share = int(np.floor(at)), int(np.ceil(at)), at - np.floor(at)
+            wanted = v[low] if low == high else (1 - share) * v[low] + share * v[high]
+            assert got[k][name] == wanted, (k, name)
+    assert quantiles.quantiles(df.limit(0), points).count() == 0

@@ -40,11 +40,16 @@ def slope(df: DataFrame, unit: str, keys: list[str] = SERIES) -> DataFrame:
     return out.withColumn("x", x).groupBy(*keys, "window_start").agg(F.coalesce(F.regr_slope("value", "x"), F.lit(0.0)).alias("slope"))
 
 
-def median_step(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """step: the median gap between readings, in seconds."""
+def steps(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """``df`` with gap: the seconds since the reading before, null for a series' first."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    gap = (micros("ts") - F.lag(micros("ts")).over(along(keys))) / 1e6
-    return df.withColumn("gap", gap).groupBy(*keys).agg(F.median("gap").alias("step"))
+    return df.withColumn("gap", (micros("ts") - F.lag(micros("ts")).over(along(keys))) / 1e6)
+
+
+def median_step(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """step: the median gap between readings, in seconds. Keeps a series' distinct gaps, which are few
+    in regular series; ``quantiles`` of ``steps`` doesn't."""
+    return steps(df, keys).groupBy(*keys).agg(F.median("gap").alias("step"))
 
 
 def samples_per(seconds: float, step: Column, least: int = 1) -> Column:

@@ -10,6 +10,7 @@ from tidegauge.functions import sax
 from tidegauge.operators import aggregates as A
 from tidegauge.operators import blocks as L
 from tidegauge.operators import joins as J
+from tidegauge.operators import quantiles as Q
 from tidegauge.operators import topk as K
 from tidegauge.operators import windows as W
 from tidegauge.plans import features as P
@@ -186,8 +187,8 @@ add("agg_slope", lambda s, d: A.slope(V.hourly(s, d), "day").select(CH, "window_
 add("agg_paa", lambda s, d: V.events(s, d).groupBy(CH, F.date_trunc("hour", TS).cast("timestamp_ntz").alias("bin")).agg(F.round(F.avg("value"), 8).alias("value")), V.sql("ev") + " SELECT channel_id, date_trunc('hour', ts) AS bin, round(avg(value), 8) AS value FROM ev GROUP BY 1, 2")
 add("agg_multiscale", lambda s, d: P.build(V.daily(s, d)).groupBy("granularity", CH).agg(F.count("*").alias("n"), F.round(F.sum("max_val"), 2).alias("top")), V.sql("dy") + " " + " UNION ALL ".join(f"SELECT '{g}' AS granularity, channel_id, count(*) AS n, round(sum(m), 2) AS top FROM (SELECT channel_id, max(value) AS m FROM dy GROUP BY 1, date_trunc('{u}', ts) HAVING count(*) > 1) GROUP BY 2" for g, u in (("yearly", "year"), ("monthly", "month"))) + " UNION ALL SELECT 'daily', channel_id, 0, 0.0 FROM dy WHERE false")
 add("agg_sax_word", lambda s, d: P.day_words(V.hourly(s, d)).select(CH, "window_start", "sax", "sax_len"), V.sql("hr") + ", " + sax_sql("hr", "day", "hour") + " SELECT channel_id, window_start, sax, sax_len FROM sx")
-add("agg_median_step", lambda s, d: A.median_step(V.events(s, d)).select(CH, F.round("step", 6).alias("step")), V.sql("ev") + " SELECT channel_id, round(median(gap), 6) AS step FROM (SELECT channel_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY channel_id ORDER BY ts)) / 1e6 AS gap FROM ev) GROUP BY 1")
-add("agg_quantile", lambda s, d: V.events(s, d).groupBy(CH).agg(*(F.round(F.percentile("value", q), 8).alias(n) for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8)))), V.sql("ev") + " SELECT channel_id, " + ", ".join(f"round(quantile_cont(value, {q}), 8) AS {n}" for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8))) + " FROM ev GROUP BY 1")
+add("agg_median_step", lambda s, d: Q.quantiles(A.steps(V.events(s, d)), {"step": 0.5}, "gap").select(CH, F.round("step", 6).alias("step")), V.sql("ev") + " SELECT channel_id, round(median(gap), 6) AS step FROM (SELECT channel_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY channel_id ORDER BY ts)) / 1e6 AS gap FROM ev) GROUP BY 1")
+add("agg_quantile", lambda s, d: Q.quantiles(V.events(s, d), {"p30": 0.3, "p50": 0.5, "p75": 0.75, "p80": 0.8}).select(CH, *(F.round(n, 8).alias(n) for n in ("p30", "p50", "p75", "p80"))), V.sql("ev") + " SELECT channel_id, " + ", ".join(f"round(quantile_cont(value, {q}), 8) AS {n}" for n, q in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75), ("p80", 0.8))) + " FROM ev GROUP BY 1")
 add("agg_std_pop", lambda s, d: V.events(s, d).groupBy(CH).agg(F.round(F.stddev_pop("value"), 8).alias("std")), V.sql("ev") + " SELECT channel_id, round(stddev_pop(value), 8) AS std FROM ev GROUP BY 1")
 add("agg_ols", lambda s, d: A.ols(J.causal_pairs(V.pair(s, d)), "down", "up", [CH]).select(CH, F.round("b", 8).alias("b"), F.round("a", 3).alias("a")), V.sql("pr") + " SELECT 'orders' AS channel_id, round(regr_slope(down, up), 8) AS b, round(regr_intercept(down, up), 3) AS a FROM pr")
 add("agg_acf", lambda s, d: A.autocorrelation(V.hourly(s, d), F.array(*map(F.lit, (1, 6, 12, 24)))).select(CH, "lag", F.round("acf", 8).alias("acf")), V.sql("hr") + ", c AS (SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i, value - avg(value) OVER (PARTITION BY channel_id) AS y FROM hr), p AS (SELECT channel_id, sum(y * y) AS s FROM c GROUP BY 1) SELECT a.channel_id, CAST(l.lag AS INTEGER) AS lag, round(sum(a.y * b.y) / any_value(p.s), 8) AS acf FROM c a JOIN (VALUES (1), (6), (12), (24)) l(lag) ON true JOIN c b ON a.channel_id = b.channel_id AND b.i = a.i + l.lag JOIN p ON a.channel_id = p.channel_id GROUP BY 1, 2")
