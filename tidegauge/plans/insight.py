@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import topk, windows
-from tidegauge.views import SERIES
+from tidegauge.views import SERIES, stored
 
 #: Weight of a cut against squared error; how far and how often cuts are moved; rows kept at borders.
 PENALTY, RADIUS, ROUNDS, MARGIN = 8.0, 8, 3, 4
@@ -88,13 +88,15 @@ def bounds(month: DataFrame, width: int, gap: int) -> DataFrame:
     return bent.select(*keys, "pos", "smooth", "bend").groupBy(*keys).applyInPandas(cut, "task_id string, channel_id string, month string, seg int, a int, b int")
 
 
-def segments(readings: DataFrame, width: int, gap: int) -> DataFrame:
-    """(series, month, seg, start, end, adj, kind) of the trend segments of each month."""
+def segments(readings: DataFrame, width: int, gap: int, cuts: DataFrame | None = None) -> DataFrame:
+    """(series, month, seg, start, end, adj, kind) of the trend segments of each month; ``cuts`` are its
+    ``bounds`` if these are known."""
     keys = [*SERIES, "month"]
     month = readings.withColumn("month", F.date_format("ts", "yyyy-MM"))
     smooth = windows.centred(windows.position(month, keys=keys), "smooth", F.avg, "value", width, keys)
     span = smooth.groupBy(*keys).agg(F.greatest(F.lit(1e-9), F.max("smooth") - F.min("smooth")).alias("span"))
-    own = smooth.join(bounds(month, width, gap).filter(F.col("b") - F.col("a") >= MARGIN), keys).filter(F.col("pos").between(F.col("a"), F.col("b")))
+    cuts = bounds(month, width, gap) if cuts is None else cuts
+    own = smooth.join(cuts.filter(F.col("b") - F.col("a") >= MARGIN), keys).filter(F.col("pos").between(F.col("a"), F.col("b")))
     at = lambda c, p: F.max(F.when(F.col("pos") == F.col(p), F.col(c))).over(Window.partitionBy(*keys, "seg"))
     own = own.withColumn("v1", at("smooth", "a")).withColumn("v2", at("smooth", "b"))
     own = own.withColumn("off", F.col("smooth") - (F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("pos") - F.col("a")) / (F.col("b") - F.col("a"))))
@@ -106,20 +108,24 @@ def segments(readings: DataFrame, width: int, gap: int) -> DataFrame:
     return seg.withColumn("adj", adj).select(*keys, "seg", "start", "end", "adj", "kind")
 
 
-def outliers(readings: DataFrame, width: int, gap: int) -> DataFrame:
-    """(series, month, timestamp, value): the point farthest out in its segment, if beyond 3 sigma."""
+def outliers(readings: DataFrame, width: int, gap: int, cuts: DataFrame | None = None) -> DataFrame:
+    """(series, month, timestamp, value): the point farthest out in its segment, if beyond 3 sigma;
+    ``cuts`` are the ``bounds`` if these are known."""
     keys = [*SERIES, "month"]
     month = windows.position(readings.withColumn("month", F.date_format("ts", "yyyy-MM")), keys=keys)
-    inside = month.join(bounds(month.drop("pos"), width, gap), keys).filter(F.col("pos").between(F.col("a"), F.col("b")))
+    inside = month.join(bounds(month.drop("pos"), width, gap) if cuts is None else cuts, keys).filter(F.col("pos").between(F.col("a"), F.col("b")))
     w = Window.partitionBy(*keys, "seg")
     z = (F.col("value") - F.avg("value").over(w)) / F.when(F.stddev_pop("value").over(w) > 0, F.stddev_pop("value").over(w)).otherwise(1e-9)
     scored = inside.withColumn("z", z).groupBy(*keys, "pos").agg(F.max_by(F.struct("ts", "value", "z"), "seg").alias("r")).select(*keys, "r.*").withColumn("size", F.abs("z"))
     return topk.arg_extreme(scored, "size", True, keys).filter(F.col("size") > OUTLIER).select(*keys, F.col("ts").alias("timestamp"), "value")
 
 
-def report(readings: DataFrame, width: int, gap: int) -> DataFrame:
-    """(series, month, trend_segments, outliers) as arrays of structs."""
+def report(readings: DataFrame, width: int, gap: int, write: bool = False) -> DataFrame:
+    """(series, month, trend_segments, outliers) as arrays of structs. With ``write`` the cuts, which
+    both parts need, are chosen once and written while the plan is built."""
     keys = [*SERIES, "month"]
-    seg = segments(readings, width, gap).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "adj", "kind"))).alias("trend_segments"))
-    out = outliers(readings, width, gap).groupBy(*keys).agg(F.collect_list(F.struct("timestamp", "value")).alias("outliers"))
+    cuts = bounds(readings.withColumn("month", F.date_format("ts", "yyyy-MM")), width, gap)
+    cuts = stored(cuts, "cuts") if write else cuts
+    seg = segments(readings, width, gap, cuts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "adj", "kind"))).alias("trend_segments"))
+    out = outliers(readings, width, gap, cuts).groupBy(*keys).agg(F.collect_list(F.struct("timestamp", "value")).alias("outliers"))
     return seg.join(out, keys, "left").withColumn("outliers", F.coalesce("outliers", F.array().cast("array<struct<timestamp:timestamp_ntz,value:double>>")))

@@ -123,7 +123,7 @@ add("q_causal_flatline", lambda s, d: D.causal_flatline(cp(s, d), 4, 2).select(C
 # insight
 add("q_insight_segments", lambda s, d: I.segments(V.hourly(s, d), 4 * HR, 5 * DAY).select(CH, "month", "seg", "start", "end", "adj", "kind"))
 add("q_insight_outlier", lambda s, d: I.outliers(V.hourly(s, d), 4 * HR, 5 * DAY).select(CH, "month", "timestamp", "value"))
-add("q_insight_report", lambda s, d: I.report(V.hourly(s, d), 4 * HR, 5 * DAY).select(CH, "month", T.fmt_report(F.col("trend_segments"), F.col("outliers")).alias("report")))
+add("q_insight_report", lambda s, d: I.report(V.hourly(s, d), 4 * HR, 5 * DAY, write=True).select(CH, "month", T.fmt_report(F.col("trend_segments"), F.col("outliers")).alias("report")))
 
 # features, slices
 FEAT = "SELECT '{g}' AS granularity, st.channel_id, st.window_start, st.window_start + INTERVAL 1 {u} AS window_end, min_val, max_val, round(avg_val, 7) AS avg_val, round(std_val, 6) AS std_val, round(slope, 4) AS slope, sax_len, sax FROM st JOIN sl ON st.channel_id = sl.channel_id AND st.window_start = sl.window_start JOIN sx ON st.channel_id = sx.channel_id AND st.window_start = sx.window_start"
