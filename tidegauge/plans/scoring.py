@@ -97,12 +97,16 @@ def score(df: DataFrame) -> DataFrame:
     What can't be parsed, and an unknown metric, scores 0.
     """
     p, g = F.col("prediction"), F.col("ground_truth")
-    (a, b), (c, d) = text.parse_interval(p), text.parse_interval(g)
-    plain = F.when(F.col("eval_metric") == "rel_acc", rel_acc(text.parse_float(p), text.parse_float(g))).when(F.col("eval_metric") == "hit", hit(text.parse_timestamp(p), text.parse_timestamp(g))).when(F.col("eval_metric") == "iou", iou(a, b, c, d)).when(F.col("eval_metric") == "set_f1", set_f1(text.parse_date_set(p), text.parse_date_set(g)))
+    # each text is parsed once, as its metric asks; the scores then name what was found as often as they like
+    of = lambda m, f: F.when(F.col("eval_metric") == m, F.struct(f(p).alias("p"), f(g).alias("g")))
+    found = {"_rel_acc": of("rel_acc", text.parse_float), "_hit": of("hit", text.parse_timestamp), "_iou": of("iou", text.interval), "_set_f1": of("set_f1", text.parse_date_set)}
+    pair = lambda n: (F.col(f"{n}.p"), F.col(f"{n}.g"))
+    ends = [c[e] for c in pair("_iou") for e in ("start", "end")]
+    plain = F.when(F.col("eval_metric") == "rel_acc", rel_acc(*pair("_rel_acc"))).when(F.col("eval_metric") == "hit", hit(*pair("_hit"))).when(F.col("eval_metric") == "iou", iou(*ends)).when(F.col("eval_metric") == "set_f1", set_f1(*pair("_set_f1")))
     is_report = F.coalesce(F.col("eval_metric") == "report", F.lit(False))
     parts = "struct<overall:double,trend:double,interval:double,adjective:double,outlier:double>"
     # only rows of reports go through their parsers and the alignment
-    others = df.filter(~is_report).withColumns({"score": F.coalesce(plain, F.lit(0.0)), "breakdown": F.lit(None).cast(parts)})
+    others = df.filter(~is_report).withColumns(found).withColumns({"score": F.coalesce(plain, F.lit(0.0)), "breakdown": F.lit(None).cast(parts)})
     reports = report_parts(df.filter(is_report), "prediction", "ground_truth")
     reports = reports.withColumns({"score": F.coalesce("breakdown.overall", F.lit(0.0)), "breakdown": F.col("breakdown").cast(parts)})
     columns = [*(c for c in df.columns if c not in ("score", "breakdown")), "score", "breakdown"]
