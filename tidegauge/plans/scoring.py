@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,16 @@ def aligned(g: Column, p: Column) -> Column:
 
     Reports have few segments, so the arrays are aligned in one vectorised call a batch.
     """
-    @F.pandas_udf("array<struct<g:int,p:int>>")
-    def align(gk: pd.Series, pk: pd.Series) -> pd.Series:
-        blocks = lambda a, b: [{"g": m.a + i, "p": m.b + i} for m in SequenceMatcher(None, list(a), list(b)).get_matching_blocks() for i in range(m.size)]
-        return pd.Series([blocks(a if a is not None else [], b if b is not None else []) for a, b in zip(gk, pk, strict=True)])
+    @F.arrow_udf("array<struct<g:int,p:int>>")
+    def align(gk: pa.Array, pk: pa.Array) -> pa.Array:
+        # kinds as numbers, so that a row's kinds are a slice of bytes
+        codes = pa.concat_arrays([gk.values, pk.values]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+        cut = lambda a, first: [codes[i:j] for i, j in pairwise(((a.offsets.to_numpy() + first) * 4).tolist())]
+        places: dict[tuple, int] = {}
+        rows = [places.setdefault(key, len(places)) for key in zip(cut(gk, 0), cut(pk, len(gk.values)), strict=True)]
+        numbers = lambda key: np.frombuffer(key, np.int32).tolist()
+        blocks = [[{"g": m.a + i, "p": m.b + i} for m in SequenceMatcher(None, numbers(a), numbers(b)).get_matching_blocks() for i in range(m.size)] for a, b in places]
+        return pa.array(blocks, pa.list_(pa.struct([("g", pa.int32()), ("p", pa.int32())]))).take(pa.array(rows, pa.int32()))
 
     kinds = lambda c: F.transform(c, lambda x: x["kind"])
     return align(kinds(g), kinds(p))
