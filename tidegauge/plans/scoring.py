@@ -50,7 +50,7 @@ def set_f1(p: Column, g: Column) -> Column:
 def aligned(g: Column, p: Column) -> Column:
     """Pairs of places (g, p) of equal kinds in order, by longest equal blocks.
 
-    Reports have few segments, so the arrays are aligned in one vectorised call a batch.
+    Reports have few segments of few kinds, so equal pairs of arrays are aligned once a batch.
     """
     @F.arrow_udf("array<struct<g:int,p:int>>")
     def align(gk: pa.Array, pk: pa.Array) -> pa.Array:
@@ -69,15 +69,15 @@ def aligned(g: Column, p: Column) -> Column:
 
 def report_parts(df: DataFrame, prediction: str, truth: str) -> DataFrame:
     """``df`` with breakdown: overall, trend, interval, adjective and outlier scores."""
-    ps, po = text.parse_report(F.regexp_replace(prediction, "\n", " "))
+    ps, po = text.parse_report(F.replace(F.col(prediction), F.lit("\n"), F.lit(" ")))
     gs, go = answers.read_report_truth(F.col(truth))
     df = df.withColumns({"_ps": ps, "_gs": gs, "_po": po, "_go": go}).withColumn("_m", aligned(F.col("_gs"), F.col("_ps")))
     hits, total = F.size("_m"), F.size("_gs") + F.size("_ps")
 
     def pair_iou(m: Column) -> Column:
-        g, p = F.get("_gs", m["g"]), F.get("_ps", m["p"])
-        inter, union = overlap(g["start"], g["end"], p["start"], p["end"])
-        return F.when(union > 0, inter / union).otherwise(0.0)
+        pair = F.struct(F.get("_gs", m["g"]).alias("g"), F.get("_ps", m["p"]).alias("p"))
+        both = text.bound(pair, lambda x: F.struct(*(c.alias(n) for n, c in zip(("inter", "union"), overlap(x["g"]["start"], x["g"]["end"], x["p"]["start"], x["p"]["end"]), strict=True))))
+        return text.bound(both, lambda x: F.when(x["union"] > 0, x["inter"] / x["union"]).otherwise(0.0))
 
     mean = lambda f: F.when(hits > 0, F.aggregate(F.transform("_m", f), F.lit(0.0), lambda s, x: s + x) / hits).otherwise(0.0)
     adj = mean(lambda m: F.when(F.get("_gs", m["g"])["adj"] == F.get("_ps", m["p"])["adj"], 1.0).otherwise(0.0))
@@ -87,8 +87,8 @@ def report_parts(df: DataFrame, prediction: str, truth: str) -> DataFrame:
 
     def take(s: Column, t: Column) -> Column:
         near = F.array_position(F.transform(s["left"], lambda g: F.abs(g - seconds(t)) <= TOLERANCE_HOURS * 3600), True).cast("int")
-        rest = F.filter(s["left"], lambda _, i: i != near - 1)
-        return F.when(near > 0, F.struct(rest.alias("left"), (s["n"] + 1).alias("n"))).otherwise(s)
+        rest = lambda k: F.filter(s["left"], lambda _, i: i != k - 1)
+        return text.bound(near, lambda k: F.when(k > 0, F.struct(rest(k).alias("left"), (s["n"] + 1).alias("n"))).otherwise(s))
 
     tp = F.aggregate("_po", start, take)["n"]
     n_out = F.size("_po") + F.size("_go")
