@@ -584,3 +584,19 @@ def test_pipeline(spark):
 
     pieces = corpus_pipeline.run(spark, SF)
     assert pieces.count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_packing_asks_the_library_once_for_each_word():
+    """Chunks of one word, in other case or with punctuation, ask for it once."""
+    model, known = wordbpe.encoder(open(WORD, "rb").read())
+    asked, library = [], model.library
+
+    class Asked:
+        def tokenize(self, word):
+            asked.append(word)
+            return library.tokenize(word)
+
+    model.library = Asked()
+    found = [known[c] for c in ["schtege", "Schtege", "SCHTEGE.", "(schtege", "çauxoi", "Çauxoi."]]
+    assert len(asked) == len(set(asked))
+    assert len(set(found[:2])) == 1 and found[2].startswith(found[0]) and found[3].endswith(found[0])

@@ -80,6 +80,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             bags = []
             for text in batch.column("text"):
                 known.trim()
+                model.packed_of.trim()
                 parts = ((struct.pack("<H", model.special[p]),) if isinstance(p, str) else map(known.__getitem__, p) for p in model.stretches(text.as_py()))
                 bags.append(np.frombuffer(b"".join(chain(chain.from_iterable(parts), (end,))), "<u2"))
             keys = curve_keys(bags) if bags else np.zeros(0, np.int64)

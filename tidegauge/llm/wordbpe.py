@@ -106,12 +106,19 @@ class WordIds(WordBpe):
         super().__init__(data)
         self.library = Tokenizer.from_str(data.decode()).model
         self.pairs, self.made = {}, []
+        #: Chunks differ by case and punctuation more than words do.
+        self.packed_of = Memo(self.packed_word, 2 * KNOWN)
+
+    def packed_word(self, word: str) -> bytes:
+        own = word if word.isascii() and word.isprintable() else "".join(map(self.symbol_of.__getitem__, word.encode()))
+        ids = [t.id for t in self.library.tokenize(own)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def packed(self, chunk: str) -> bytes:
         """A chunk's ids, two bytes each."""
-        symbol_of, tokenize = self.symbol_of, self.library.tokenize
-        ids = [t.id for word in self.words(chunk) for t in tokenize(word if word.isascii() and word.isprintable() else "".join(map(symbol_of.__getitem__, word.encode())))]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        if chunk.isascii() and chunk.isalpha():
+            return self.packed_of[chunk.lower()]
+        return b"".join(map(self.packed_of.__getitem__, self.words(chunk)))
 
 
 class Memo(dict):
@@ -150,7 +157,7 @@ def counter(data: bytes) -> tuple[WordBpe, Memo]:
 
 def encoder(data: bytes) -> tuple[WordIds, Memo]:
     model = WordIds(data)
-    return model, Memo(model.packed)
+    return model, Memo(model.packed, 2 * KNOWN)
 
 
 def shared_file(spark, path: str):
