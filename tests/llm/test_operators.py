@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, wordbpe, words
+from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, tables, wordbpe, words
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -600,3 +601,24 @@ def test_packing_asks_the_library_once_for_each_word():
     found = [known[c] for c in ["schtege", "Schtege", "SCHTEGE.", "(schtege", "çauxoi", "Çauxoi."]]
     assert len(asked) == len(set(asked))
     assert len(set(found[:2])) == 1 and found[2].startswith(found[0]) and found[3].endswith(found[0])
+
+
+def test_settling_leaves_no_shuffle_files(spark):
+    """What is written needs no shuffle files any more, and later queries get theirs as ever."""
+    files = lambda: str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")).count("/shuffle_")
+    before = files()
+    counts = tables.settle(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count(), "counts")
+    assert files() <= before
+    assert counts.groupBy("count").count().collect()[0][1] == 5000
+    assert spark.conf.get(tables.CLEANUP, "false") == "false"
+    folder = counts.inputFiles()[0].removeprefix("file://")
+    tables.discard(counts)
+    assert not os.path.exists(folder)
+
+
+def test_search_shuffles_neither_shards_nor_queries(docs):
+    """Shards and blocks of queries meet without a shuffle, which would hold each block once a shard."""
+    plan = search.top_k(docs, docs.filter("doc_id % 20 = 0"))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("CartesianProduct", 1)
+    assert "MapInArrow" in above and "CoGroup" not in plan
+    assert "Exchange" not in "\n".join(below.splitlines()[: next((i for i, x in enumerate(below.splitlines()) if "asked-" in x), 99)])
