@@ -622,3 +622,14 @@ def test_search_shuffles_neither_shards_nor_queries(docs):
     above, below = plan.split("CartesianProduct", 1)
     assert "MapInArrow" in above and "CoGroup" not in plan
     assert "Exchange" not in "\n".join(below.splitlines()[: next((i for i, x in enumerate(below.splitlines()) if "asked-" in x), 99)])
+
+
+def test_line_dedup_keeps_no_bands(docs, monkeypatch):
+    """Tables with bands, the most of what is written, are gone at the end, and bands are listed in turns."""
+    written = []
+    monkeypatch.setattr(lines, "settle", lambda df, name: written.append((tables.settle(df, name), name)) or written[-1][0])
+    lines.without_repeated_lines(docs.limit(60)).count()
+    folders = [(name, "band_0" in df.columns, os.path.exists(os.path.dirname(df.inputFiles()[0].removeprefix("file://")))) for df, name in written]
+    assert sum(banded for _, banded, _ in folders) == 2
+    assert all(there != banded for _, banded, there in folders)
+    assert [name for name, _, _ in folders].count("blocks") == -(-lines.BANDS // lines.TURN)
