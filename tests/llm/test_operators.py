@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bytebpe, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, tables, wordbpe, words
+from tidegauge.llm import bytebpe, inverted, jpeg, langid, lines, minhash, packing, pii, queries, repeats, search, tables, wordbpe, words
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -633,3 +633,46 @@ def test_line_dedup_keeps_no_bands(docs, monkeypatch):
     assert sum(banded for _, banded, _ in folders) == 2
     assert all(there != banded for _, banded, there in folders)
     assert [name for name, _, _ in folders].count("blocks") == -(-lines.BANDS // lines.TURN)
+
+
+def test_pieces_rule_out_only_lines_that_differ(spark):
+    """Most unlike lines of common syllables need no whole edit distance; none that is near enough goes."""
+    rng = random.Random(17)
+    line = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    syllables = [line("aeiountrs", 3) + " " * (i % 3 == 0) for i in range(40)]
+    chinese = "".join(map(chr, range(0x4E00, 0x4F00)))
+    rows = [(line(syllables, 150), line(syllables, 150)) for _ in range(60)]
+    for letters in ("abcdefgh \u00e9", chinese):
+        for n in (65, 128, 200, 700):
+            a = line(letters, n)
+            rows += [(a, a[n // 10 :] + line(letters, n // 10)), (a, a[:20] + line(letters, n // 5) + a[20:]), (a, a[n // 2 :] + a[: n // 2]), (a, line(letters, n))]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("d", F.levenshtein("a", "b"))
+    a, b, d = (list(x) for x in zip(*df.collect(), strict=True))
+    for most in (np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)]), np.array(d)):
+        short, long = lines.sides(a, b, np.arange(len(a)))
+        fits = most >= [abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)]
+        gone = lines.beyond(short, long, most) & fits
+        assert not (gone & (np.array(d) <= most)).any()
+        assert lines.all_within(a, b, most).tolist() == (np.array(d) <= most).tolist()
+    assert lines.beyond(*lines.sides(a, b, np.arange(60)), np.array([max(len(x), len(y)) // 5 for x, y in zip(a[:60], b[:60], strict=True)])).sum() >= 54
+
+
+def test_pairs_in_goes_and_parts_give_the_same_components(spark, monkeypatch):
+    """Lists in parts and pairs looked at a few at a time link what all at once do, and leave neither behind."""
+    rng = random.Random(19)
+    group = {i: i // 12 for i in range(240)}
+    postings = sorted({(t, rng.randrange(240)) for t in range(40) for _ in range(14)} | {(100 + i // 12, i) for i in range(240)})
+    n = collections.Counter(t for t, _ in postings)
+    df = spark.createDataFrame([(t, i, n[t]) for t, i in postings if n[t] > 1], "token long, id long, df long")
+    linked = F.col("a") % 12 + 1 == F.col("b") % 12
+    confirm = lambda pairs, known: pairs.filter((F.floor(F.col("a") / 12) == F.floor(F.col("b") / 12)) & ((F.col("a") % 3 == F.col("b") % 3) | linked)).select("a", "b")
+    likely = lambda pairs: pairs.groupBy("a", "b").agg(F.lit(1).alias("matches"))
+    run = lambda parts: {r.id: r.component for r in inverted.resolve(parts, likely, lambda ids: ids, confirm).collect()}
+    want = run([df])
+    written = []
+    monkeypatch.setattr(inverted, "settle", lambda df, name: written.append((tables.settle(df, name), name)) or written[-1][0])
+    monkeypatch.setattr(inverted, "GO", 20)
+    parts = [tables.settle(df.filter(F.col("token") % 3 == i), "blocks") for i in range(3)]
+    assert run(parts) == want and len(set(want.values())) < 240 and all(group[i] == group[c] for i, c in want.items())
+    left = collections.Counter(name for df, name in written if os.path.exists(df.inputFiles()[0].removeprefix("file://")))
+    assert not left["held"] and not left["asked"] and not left["best"] and left["pairs"] == 1
