@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tidegauge.operators import joins, windows
+from tidegauge.registry import scores
 
 
 def test_nearest_reading_of_long_series_against_brute_force(spark):
@@ -45,3 +47,10 @@ def test_fill_of_long_series_takes_no_square(spark):
     bins = windows.densified(df, "hour").agg(F.count("value").alias("n"), F.sum("value").alias("s")).first()
     assert bins.n == n and bins.s == pytest.approx(1 + sum(range(1, 100_002)) + 100_001.0 * (n - 100_002))
     assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("name", ["score_tasks", "score_report", "join_segment_align"])
+def test_tasks_of_one_row_group_are_scored_by_many(spark, name):
+    """The orders lie in one file of one row group, which one task reads; the scoring is dealt over all cores."""
+    scored = scores.ENTRIES[name][0](spark, SF).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(scored) >= 8 and max(r["count"] for r in scored) < 0.4 * sum(r["count"] for r in scored)

@@ -27,8 +27,13 @@ def pick(items: list[str]):
     return F.element_at(F.array(*map(F.lit, items)), F.col("o_orderkey").cast("int") % len(items) + 1)
 
 
+def orders(s, d):
+    """Orders dealt over all cores, as each makes texts that are parsed and scored."""
+    return V.spread(V.table(s, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"), "o_orderkey", "o_orderdate")
+
+
 def tasks(s, d):
-    o = V.table(s, d, "orders")
+    o = orders(s, d)
     k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
     shift = lambda h: t + F.expr(f"interval {h} hours")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -52,7 +57,7 @@ add("score_gain_by_round", lambda s, d: C.gain_by_round(rounds(s, d)).select("su
 
 
 def reports(s, d):
-    o = V.table(s, d, "orders")
+    o = orders(s, d)
     k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
     at = lambda h: t + F.expr(f"interval {h} hours")
     seg = lambda a, b, adj, kind: F.struct(at(a).alias("start"), at(b).alias("end"), F.lit(adj).alias("adj"), F.lit(kind).alias("kind"))
