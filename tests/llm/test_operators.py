@@ -676,3 +676,33 @@ def test_pairs_in_goes_and_parts_give_the_same_components(spark, monkeypatch):
     assert run(parts) == want and len(set(want.values())) < 240 and all(group[i] == group[c] for i, c in want.items())
     left = collections.Counter(name for df, name in written if os.path.exists(df.inputFiles()[0].removeprefix("file://")))
     assert not left["held"] and not left["asked"] and not left["best"] and left["pairs"] == 1
+
+
+def test_long_queries_add_up_every_posting_exactly():
+    """Scores are those of adding up term by term in the queries' order, ties and few hits included, and
+    take a small part of its calls: common terms are one product, rare ones one sum."""
+    rng = np.random.default_rng(23)
+    vocabulary = tables.mixed(np.arange(1, 3001, dtype=np.uint64))
+    pick = lambda n: vocabulary[np.minimum(rng.zipf(1.3, n), 3000) - 1]
+    terms = [pick(int(n)) for n in rng.integers(0, 200, 300)]
+    terms += [terms[i] for i in (3, 3, 3, 7, 50)] * 4 + [np.zeros(0, np.uint64)]
+    shard = search.Shard(dict(zip([n for n, _ in search.INDEX], search.packed_shard(0, list(range(1000, 1000 + len(terms))), terms), strict=True)), float(np.mean([len(t) for t in terms])))
+    strange = tables.mixed(np.arange(5000, 5040, dtype=np.uint64))
+    queries = [np.unique(t.view(np.int64)) for t in terms if len(t) > 60] + [strange.view(np.int64).copy(), np.unique(np.append(strange, vocabulary[2999]).view(np.int64))]
+    asked, refs = np.unique(np.concatenate(queries), return_inverse=True)
+    idf = rng.random(len(asked)) * 8 + 1e-6
+    starts = np.cumsum([0, *map(len, queries)])
+    block = {"keys": [str(i) for i in range(len(queries))], "asked": asked.tobytes(), "idf": idf.tobytes(), "from": starts.astype(np.int64).tobytes(), "refs": refs.astype(np.uint32).tobytes()}
+    place = {t: j for j, t in enumerate(shard.terms.view(np.int64).tolist())}
+    want = []
+    for i, query in enumerate(queries):
+        scores = np.zeros(len(terms))
+        for t in query.tolist():
+            if t in place:
+                a, b = shard.starts[place[t]], shard.starts[place[t] + 1]
+                scores[shard.places[a:b]] += shard.weights[a:b] * idf[np.searchsorted(asked, t)]
+        best = sorted((-x, d) for d, x in enumerate(scores.tolist()) if x > 0)[:10]
+        want += [(str(i), -x, 1000 + d) for x, d in best]
+    assert min(map(len, queries)) > search.PRUNED and list(shard.answers(block, 10)) == want
+    *_, row, dense = shard.by_document()
+    assert 0 < len(dense) < len(row) and len({k for k, *_ in want}) < len(queries)
