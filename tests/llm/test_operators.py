@@ -706,3 +706,33 @@ def test_long_queries_add_up_every_posting_exactly():
     assert min(map(len, queries)) > search.PRUNED and list(shard.answers(block, 10)) == want
     *_, row, dense = shard.by_document()
     assert 0 < len(dense) < len(row) and len({k for k, *_ in want}) < len(queries)
+
+
+def test_long_lines_meet_only_where_they_may_be_alike(spark, monkeypatch):
+    """Lines of the same frequent syllables, all with one phrase, are no candidates, as their number grows
+    with its square; near copies of some of them are found."""
+    rng = random.Random(29)
+    syllables = ["".join(rng.choice("aeiountrs") for _ in range(3)) + " " * (i % 3 == 0) for i in range(30)]
+    phrase = "".join(rng.choice(syllables) for _ in range(12)).strip()
+    line = lambda: "".join(rng.choice(syllables) for _ in range(220)).split(" ")
+    own = [" ".join([*x[: (i * 7) % len(x)], phrase, *x[(i * 7) % len(x) :]]) for i, x in enumerate(line() for _ in range(300))]
+    near = ["".join(c if rng.random() > 0.05 else "x" for c in x) for x in own[:40]]
+    asked, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, known, percent: asked.append(pairs.count()) or similar(pairs, known, percent))
+    df = spark.createDataFrame([*enumerate(own), *((1000 + i, x) for i, x in enumerate(near))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(df).collect()}
+    assert not any(got[i] for i in range(300)) and all(got[1000 + i] for i in range(40))
+    assert sum(asked) < 200
+
+
+def test_seeds_of_lines():
+    """Seeds are those of slices, each once a line; lines that have few distinct strings have them all."""
+    rng = random.Random(31)
+    own = ["".join(rng.choice("abcdef \u00e9\u65e5") for _ in range(n)) for n in (161, 400, 3000)] + ["ha " * 80, "x" * 300]
+    codes, first, last = lines.letters(data := np.frombuffer("\n".join([*own, ""]).encode(), np.uint8), *((ends := np.flatnonzero(data == 10)) * 0 + np.concatenate([[0], ends[:-1] + 1]), ends))
+    found, sizes = lines.seeds(codes, first, last)
+    for (i, j), part in zip(zip(first, last, strict=True), np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+        every = {int(tables.mixed(lines.windows(codes[k : k + lines.SEED], lines.SEED)[:1])[0]) >> 16: (k - i) // lines.PLACE for k in range(j - lines.SEED, i - 1, -1)}
+        token, place = (part >> np.uint64(16)).tolist(), (part & np.uint64(0xFFFF)).tolist()
+        assert len(set(token)) == len(token) >= min(len(every), lines.SEEDS // 2) and all(every[t] == p for t, p in zip(token, place, strict=True))
+        assert set(token) == set(sorted(every)[: len(token)])
