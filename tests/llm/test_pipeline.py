@@ -114,3 +114,21 @@ def test_empty_documents_and_odd_rows(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
     first = [p.doc_id for p in pieces if p.start == 0 and p.doc_id is not None]
     assert len(first) == len(set(first)) and first
+
+
+def test_languages_are_told_without_a_shuffle_of_texts(spark):
+    """Rejected ids go by a broadcast; those that are null or known stay."""
+    noise = "zq xw 0x9f " * 3
+    good = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
+    docs = spark.createDataFrame([*good, (None, good[0][1], None, None, 1), (None, noise, None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.identify(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = {tuple(r) for r in out.collect()}
+        known = {r.doc_id for r in corpus_pipeline.document_languages(docs).filter("kept and doc_id is not null").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert {r[0] for r in rows} == known | {None} and sum(r[0] is None for r in rows) == 2
