@@ -736,3 +736,25 @@ def test_seeds_of_lines():
         token, place = (part >> np.uint64(16)).tolist(), (part & np.uint64(0xFFFF)).tolist()
         assert len(set(token)) == len(token) >= min(len(every), lines.SEEDS // 2) and all(every[t] == p for t, p in zip(token, place, strict=True))
         assert set(token) == set(sorted(every)[: len(token)])
+
+
+def test_search_scores_anew_only_what_may_be_among_the_best(spark, monkeypatch):
+    """Many shards give the rows of one, and return few more than the k best of each query."""
+    rng = np.random.default_rng(37)
+    texts_ = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.2, int(n)), 4000)) for n in rng.integers(30, 120, 960)]
+    texts_ += [texts_[i] for i in range(0, 200, 5)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    asked = df.filter("doc_id % 20 = 0")
+    one = {tuple(r) for r in search.top_k(df.coalesce(1), asked).collect()}
+    many = df.repartition(32, "doc_id")
+    found = search.top_k(many, asked)
+    assert {tuple(r) for r in found.collect()} == one
+    monkeypatch.setattr(search, "FIRST", 1000)
+    assert {tuple(r) for r in search.top_k(many, asked).collect()} == one
+    row = dict(zip([n for n, _ in search.INDEX], search.packed_shard(0, list(range(1000)), [search.terms_of(t, minhash.word_memo()) for t in texts_]), strict=True))
+    shard = search.Shard(row, 75.0)
+    queries = [(np.arange(i, len(shard.terms), 40), np.linspace(1, 8, len(range(i, len(shard.terms), 40)))) for i in range(20)]
+    every = list(shard.best(queries, 10))
+    for cut in (0, 4, 9):
+        assert list(shard.best(queries, 10, [x[cut][0] for x in every])) == [[y for y in x if y[0] >= x[cut][0]] for x in every]
+    assert list(shard.best(queries, 10, [x[0][0] * 1.001 for x in every])) == [[]] * 20
