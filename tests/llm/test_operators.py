@@ -749,8 +749,9 @@ def test_search_scores_anew_only_what_may_be_among_the_best(spark, monkeypatch):
     many = df.repartition(32, "doc_id")
     found = search.top_k(many, asked)
     assert {tuple(r) for r in found.collect()} == one
-    monkeypatch.setattr(search, "FIRST", 1000)
-    assert {tuple(r) for r in search.top_k(many, asked).collect()} == one
+    for more in (2, 1000):
+        monkeypatch.setattr(search, "MORE", more)
+        assert {tuple(r) for r in search.top_k(many, asked).collect()} == one
     row = dict(zip([n for n, _ in search.INDEX], search.packed_shard(0, list(range(1000)), [search.terms_of(t, minhash.word_memo()) for t in texts_]), strict=True))
     shard = search.Shard(row, 75.0)
     queries = [(np.arange(i, len(shard.terms), 40), np.linspace(1, 8, len(range(i, len(shard.terms), 40)))) for i in range(20)]
